@@ -5,6 +5,7 @@ from __future__ import annotations
 from pointweave.llm import chat
 from pointweave.llm.codec import round_trip
 from pointweave.llm.language_id import identify
+from pointweave.llm.near_dups import near_duplicates
 from pointweave.llm.packing import pack_documents
 from pointweave.llm.quality_classifier import classify
 from pointweave.llm.quality_rules import quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_bpe": lambda spark, d: round_trip(table(spark, d, "documents")),
     "op3_quality_rules": lambda spark, d: quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_chat": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
+    "op5_minhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: count_tokens(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: identify(table(spark, d, "documents")),
     "op10_quality_classifier": lambda spark, d: classify(table(spark, d, "documents"), table(spark, d, "labels")),
