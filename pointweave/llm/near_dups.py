@@ -233,3 +233,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "part")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (all columns) without all but one of each group: the one with the smallest id stays.
+
+    Rows to drop are named by id and text hash; they are broadcast if few, else joined by a shuffle.
+    """
+    made, nodes, parts = components_of(docs)
+    placed = made.join(nodes.select("digest", "node"), "digest", "left").join(parts, "node", "left")
+    placed = placed.select("row", "doc_id", "text_hash", F.coalesce("component", "node", F.col("row")).alias("part"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "text_hash")
+    chosen = placed.groupBy("part").agg(F.min(order).alias("k")).select("part", F.col("k.doc_id").alias("kd"), F.col("k.text_hash").alias("kh"))
+    groups = placed.join(chosen, "part")
+    same = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("text_hash") == F.col("kh"))
+    losers = cut(groups.where(~same).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "losers")
+    repeated = groups.where(same).groupBy("part", "kd", "kh").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kd").alias("_d"), F.col("kh").alias("_h"))
+    columns = docs.columns
+    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    on = lambda k: keyed._i.eqNullSafe(k._d) & (keyed._t == k._h)
+    few = losers.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = keyed.join(F.broadcast(losers) if few else losers, on(losers), "left_anti")
+    if repeated.isEmpty():
+        return left.select(*columns)
+    keyed = left
+    again = left.join(repeated, on(repeated), "left_semi").dropDuplicates(["_i", "_t"])
+    return left.join(repeated, on(repeated), "left_anti").union(again).select(*columns)

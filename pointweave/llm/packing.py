@@ -27,7 +27,10 @@ from pointweave.plans.lineage import cut
 WORD_VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END = 1
-MEMO = 1_000_000
+MEMO = 800_000
+_MARKS = ".,!?;:"
+#: Letters before this one are composed, and each has its own lower case: Latin-1 and Latin Extended-A.
+_LATIN = "\u0130"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -46,7 +49,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # chunks
+        self.parts: dict[str, bytes] = {}  # words and marks
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,15 +59,28 @@ class WordEncoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
+            self.parts.clear()
         # these four are white space to str.split but not to the vocabulary's pattern
         odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         chunks = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         new = list(set().union(*chunks).difference(memo))
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            memo.update(zip(part, self._encode(part), strict=True))
+        cuts = [self._cut(c) for c in new]
+        missing = list({p for c in cuts for p in c}.difference(self.parts))
+        for start in range(0, len(missing), 2000):
+            part = missing[start : start + 2000]
+            self.parts.update(zip(part, self._encode(part), strict=True))
+        for c, cut_at in zip(new, cuts, strict=True):
+            memo[c] = b"".join([self.parts[p] for p in cut_at])
         return [self._encode([t])[0] if k in odd else b"".join([memo[c] for c in chunks[k]]) for k, t in enumerate(texts)]
 
+    @staticmethod
+    def _cut(chunk: str) -> tuple[str, ...]:
+        """A Latin word (in lower case) and the marks after it, which are tokens apart; any other chunk as it is."""
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha() and max(word) < _LATIN:
+            return (word.lower(), chunk[len(word) :]) if len(word) < len(chunk) else (word.lower(),)
+        return (chunk,)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

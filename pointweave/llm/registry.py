@@ -9,6 +9,7 @@ from pointweave.llm.near_dups import near_duplicates
 from pointweave.llm.packing import pack_documents
 from pointweave.llm.quality_classifier import classify
 from pointweave.llm.quality_rules import quality_rules
+from pointweave.llm.repeats import dedup_repeats
 from pointweave.llm.text import table
 from pointweave.llm.token_counts import count_tokens
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_minhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: count_tokens(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: identify(table(spark, d, "documents")),
+    "op8_suffix_array": lambda spark, d: dedup_repeats(table(spark, d, "documents")),
     "op10_quality_classifier": lambda spark, d: classify(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 

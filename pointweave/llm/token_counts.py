@@ -59,12 +59,25 @@ def lexicon(texts: DataFrame, name: str) -> DataFrame:
     return cut(counted.mapInArrow(pieces, "pretoken string, freq long, pieces int"), "lexicon")
 
 
+def _least_frequency(known: DataFrame, hot: int) -> int:
+    """The frequency from which on there are at most ``hot`` entries; found from a histogram with some 16 steps an octave."""
+    step = F.floor(F.log2("freq") * 16).cast("int")
+    rows = sorted(known.groupBy(step.alias("s")).agg(F.min("freq").alias("least"), F.count("*").alias("n")).collect(), key=lambda r: -r["s"])
+    least, total = 1 << 62, 0
+    for r in rows:  # at most 16 * 63 rows
+        total += r["n"]
+        if total > hot:
+            break
+        least = r["least"]
+    return least
+
+
 def count_tokens(docs: DataFrame, name: str = BYTE_VOCABULARY, limit: int = 512, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens)."""
     spark = docs.sparkSession
     texts = doc_texts(docs, doc_id, text)
     known = lexicon(texts, name)
-    top = known.orderBy(F.desc("freq"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
+    top = known.where(F.col("freq") >= _least_frequency(known, hot)).select("pretoken", "pieces").toArrow()
     shared = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
 
     def split(batches):
