@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointweave.llm.near_dups import keep_one
 from pointweave.llm.packing import pack_documents
 from pointweave.llm.quality_classifier import keep_good
-from pointweave.llm.quality_rules import judge, trusted_ids
+from pointweave.llm.quality_rules import keep_passing, trusted_ids
 from pointweave.llm.repeats import strip_repeats
 from pointweave.llm.text import table
 from pointweave.plans.lineage import cut
@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
-    return judge(docs, trusted_ids(table(spark, sf_dir, "labels"))).where("kept").select("_doc.*")
+    return keep_passing(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,16 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     return judged.withColumn("kept", ~F.col("base_failed") & enough)
 
 
+def keep_passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` (all columns) that are kept.
+
+    The row id keeps the optimiser from pushing the verdict below the projections that compute it step by step, which
+    would inline every step into one expression many times over.
+    """
+    judged = judge(docs, trusted, threshold).select("_doc", "kept", F.monotonically_increasing_id().alias("_gate"))
+    return judged.where(F.col("kept") & (F.col("_gate") >= 0)).select("_doc.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = judge(docs, trusted_ids(labels), threshold)
     mean = F.when(F.col("n_words") > 0, F.col("score_steps") / (F.lit(2.0 * STEPS) * F.col("n_words"))).otherwise(F.lit(0.0))
