@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pointweave.llm import chat
 from pointweave.llm.codec import round_trip
+from pointweave.llm.embedding_dups import near_duplicate_vectors
 from pointweave.llm.language_id import identify
 from pointweave.llm.near_dups import near_duplicates
 from pointweave.llm.packing import pack_documents
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_token_counts": lambda spark, d: count_tokens(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: identify(table(spark, d, "documents")),
     "op8_suffix_array": lambda spark, d: dedup_repeats(table(spark, d, "documents")),
+    "op9_embedding_dups": lambda spark, d: near_duplicate_vectors(table(spark, d, "embeddings")),
     "op10_quality_classifier": lambda spark, d: classify(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
