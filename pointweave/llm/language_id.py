@@ -178,8 +178,6 @@ class Scorer:
         self.letters = np.zeros(1024, bool)
 
     def _add(self, chunks: list[str]) -> None:
-        if len(self.place) + len(chunks) > MEMO + len(chunks):
-            self.place.clear()
         start = len(self.place)
         while start + len(chunks) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -194,6 +192,8 @@ class Scorer:
             self.table[start + k] = scores[[at[w] for w in ws]].sum(0) if ws else 0.0
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
         split = [t.lower().split() for t in texts]
         if len(self.place) > MEMO:
             self.place.clear()
@@ -203,7 +203,7 @@ class Scorer:
         out = []
         for ws in split:
             at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            if not self.languages or not self.letters[at].any():
+            if not self.letters[at].any():
                 out.append(("und", 0.0))
                 continue
             total = self.table[at].sum(0)
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, name: str = PIECES, most: int = MOST) -> DataFrame
 
     def run(batches):
         scorer = Scorer(*shared.value, _pieces(name))
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             got = scorer(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -25,7 +25,9 @@ TRUSTED = 50_000
 #: Fixed-point steps in one nat.
 STEPS = 1 << 20
 #: Mean log ratio (nats for each n-gram) under which a text is not kept.
-THRESHOLD = -0.08
+THRESHOLD = -0.10
+#: Counts added to both sides of a bucket's ratio.
+PRIOR = 20
 _WS = " \t\n\x0b\f\r"
 
 
@@ -58,7 +60,12 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[int]:
-    """Fixed-point log(p_trusted / p_corpus) for each bucket, with one added to every count."""
+    """Fixed-point log(p_trusted / p_corpus) for each bucket.
+
+    Both counts are taken on the trusted scale and get PRIOR added: the trusted multinomial is smoothed towards the
+    corpus's, so that a bucket with little evidence, as a few unlabelled copies of a text would make in a small corpus,
+    says little.
+    """
     marked = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col(text).alias("text")).join(F.broadcast(trusted), F.col("_d") == F.col("_id"), "left")
     one, two = _buckets(buckets)
     grams = _word_hashes(marked, "text").select(F.col("_id").isNotNull().alias("good"), F.explode(F.concat(one, two)).alias("bucket"))
@@ -67,9 +74,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text
     n, g = sum(r["n"] for r in rows), sum(r["g"] for r in rows)
     out = [0] * buckets
     if g:
-        out = [round(STEPS * (log(1 / (g + buckets)) - log(1 / (n + buckets))))] * buckets
         for r in rows:
-            out[r["bucket"]] = round(STEPS * (log((r["g"] + 1) / (g + buckets)) - log((r["n"] + 1) / (n + buckets))))
+            out[r["bucket"]] = round(STEPS * log((r["g"] + PRIOR) / (r["n"] * g / n + PRIOR)))
     return out
 
 

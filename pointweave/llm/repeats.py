@@ -86,6 +86,15 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     return versioned(texts), versioned(rows)
 
 
+def _once(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts with every (id, version) once; only rows that repeat are shuffled."""
+    repeated = rows.where("copies > 1").select(F.col("doc_id").alias("_i"), F.col("version").alias("_w"))
+    if repeated.isEmpty():
+        return texts
+    on = texts.doc_id.eqNullSafe(repeated._i) & (texts.version == repeated._w)
+    return texts.join(repeated, on, "left_anti").union(texts.join(repeated, on, "left_semi").dropDuplicates(KEY))
+
+
 def _anchor_table(texts: DataFrame) -> DataFrame:
     """``hash, around, shape, doc_id, version, place``; shape: 256 * (place - first start) + (last - first start)."""
 
@@ -161,7 +170,7 @@ def _runs(texts: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("hash", "shape", "place")).alias("a"))
     ids = cut(wanted.select(*KEY).distinct(), "ids")
     k = ids.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"))
-    chosen = texts.join(F.broadcast(k) if _small(ids) else k, texts.doc_id.eqNullSafe(k._d) & (texts.version == k._v), "left_semi").dropDuplicates(KEY)
+    chosen = texts.join(F.broadcast(k) if _small(ids) else k, texts.doc_id.eqNullSafe(k._d) & (texts.version == k._v), "left_semi")
     a = lists.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "a")
     rows = chosen.join(a, chosen.doc_id.eqNullSafe(a._d) & (chosen.version == a._v)).select("doc_id", "version", "text", F.col("a.hash").alias("hash"), F.col("a.shape").alias("shape"), F.col("a.place").alias("place"))
 
@@ -268,10 +277,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Keyed texts, their rows, and for each (id, version) with removals ``spans array<struct<b, e>>`` (bytes, end excluded)."""
     texts, rows = _keyed(docs, doc_id, text)
     parts = partitions(docs.sparkSession)
-    found = cut(_settle(_anchor_table(texts)), "anchors")
+    once = _once(texts, rows)
+    found = cut(_settle(_anchor_table(once)), "anchors")
     settled = found.where("not open").select(*KEY, (F.col("place") - F.floor(F.col("shape") / 256)).cast("long").alias("lo"), F.col("shape").alias("s"))
     settled = settled.select(*KEY, "lo", (F.col("lo") + F.col("s") % 256).alias("hi"))
-    others = cut(_merged(_runs(texts, found.where("open"), parts), parts), "strings")
+    others = cut(_merged(_runs(once, found.where("open"), parts), parts), "strings")
     whole = settled.union(others).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"))
 
     def run(batches):
@@ -313,13 +323,12 @@ def kept_bytes(text: str, removed: list[dict] | None) -> tuple[bytes, bytes]:
 def dedup_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
     texts, rows, spans_of = repeated_spans(docs)
+    one = _with_spans(_once(texts, rows), spans_of)
     repeated = rows.where("copies > 1").select(F.col("doc_id").alias("_i"), F.col("version").alias("_w"), "copies")
     if repeated.isEmpty():
-        one = _with_spans(texts, spans_of).withColumn("copies", F.lit(1).cast("long"))
-    else:  # rows that repeat: one of them speaks for all
-        one = _with_spans(texts, spans_of).join(repeated, texts.doc_id.eqNullSafe(repeated._i) & (texts.version == repeated._w), "left")
-        plain, several = one.where("copies is null").withColumn("copies", F.lit(1).cast("long")).drop("_i", "_w"), one.where("copies is not null").drop("_i", "_w")
-        one = plain.unionByName(several.dropDuplicates(KEY))
+        one = one.withColumn("copies", F.lit(1).cast("long"))
+    else:  # one of the rows that repeat speaks for all
+        one = one.join(repeated, one.doc_id.eqNullSafe(repeated._i) & (one.version == repeated._w), "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
 
     def run(batches):
         empty = hashlib.sha256(b"").hexdigest()
