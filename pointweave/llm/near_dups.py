@@ -5,12 +5,12 @@
    the first round) and ten mantissa bits: 16 bits.  Texts with equal shingle sets collapse to one representative.
 2. Bands of four registers put representatives into buckets; two texts of similarity 0.75 miss all 32 bands with
    probability 5e-6.  First every bucket's members are paired with its smallest member only.  A pair goes on if the
-   Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within six standard
+   Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within five standard
    deviations of the threshold, and is then verified on the full shingle sets.
 3. Verified pairs give components.  Buckets whose members are not all in one component are compared again, in blocks of
-   bounded size inside tasks, and each member's best untested partner in each other component is verified; this repeats
-   until no untested pair is left between components.  So no link that joins components is lost, and no group of
-   copies, however large, is expanded into pairs.
+   bounded size inside tasks, and every component's few best untested pairs with others are verified, eight times as
+   many in each round; this repeats until no untested pair is left between components.  So no link that
+   joins components is lost, and no group of copies, however large, is expanded into pairs.
 
 Defined results: null text, blank text and texts without words have an empty set, are linked with nothing and kept.
 Equal texts are linked.  Every input row gives a row, also for repeated rows and repeated ids (all rows with the
@@ -37,8 +37,8 @@ BUCKETS, BITS = 128, 7
 ROWS = 4
 MANTISSA = 10
 PERCENT = 75
-#: Estimates under this are not verified: six standard deviations of the estimate at the threshold.
-LEAST = 0.75 - 6 * math.sqrt(0.75 * 0.25 / BUCKETS)
+#: Estimates under this are not verified: five standard deviations of the estimate at the threshold.
+LEAST = 0.75 - 5 * math.sqrt(0.75 * 0.25 / BUCKETS)
 #: Members of a block in which all pairs of estimates are taken.
 BLOCK = 1024
 #: Ids that a broadcast may hold; more are joined by a shuffle.
@@ -163,10 +163,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[Dat
     return rows.mapInArrow(run, "a long, b long"), found, wanted
 
 
-def _rest(members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a bucket: for each member its best partner in each other one.
+def _rest(members: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs ``a, b, pa, pb, e, more`` between components that share a bucket, best first if there are many.
 
-    A bucket of more than BLOCK members is dealt to blocks, and every two blocks meet in one group of bounded size.
+    A bucket of more than BLOCK members is dealt to blocks, and every two blocks meet in one group of bounded size; each
+    group gives the ``most`` best pairs of each component; ``more`` tells that it had others.
     """
     placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -179,18 +180,31 @@ def _rest(members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         block, p, q = table.column("i").to_numpy(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        out_a, out_b, out_e = [], [], []
+        found = []
         for k in left:
             other = right[(part[right] != part[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
+            same = (regs[other] == regs[k]).mean(1)
+            other, same = other[same >= LEAST], same[same >= LEAST]  # the correction only lowers an estimate
             if len(other):
-                e = estimate(regs[other], np.broadcast_to(regs[k], (len(other), BUCKETS)), n[other].astype(float), np.full(len(other), float(n[k])))
-                for m in np.flatnonzero(e >= LEAST):
-                    out_a.append(min(node[k], node[other[m]]))
-                    out_b.append(max(node[k], node[other[m]]))
-                    out_e.append(float(e[m]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "e": pa.array(out_e, pa.float64())})
-
-    return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e"))
+                c = chance(n[other].astype(float), np.full(len(other), float(n[k])))
+                e = (same - c) / (1 - c)
+                fine = e >= LEAST
+                found.append((np.full(fine.sum(), k), other[fine], e[fine]))
+        if not found:
+            return pa.table({c: pa.array([], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("pa", pa.int64()), ("pb", pa.int64()), ("e", pa.float64()), ("more", pa.bool_()))})
+        x, y, e = (np.concatenate(f) for f in zip(*found, strict=True))
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        low, high = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+        ends, row = np.concatenate([low, high]), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((-e[row], ends))
+        ends, row = ends[order], row[order]
+        begin = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+        place = np.arange(len(ends)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(ends)]])))
+        keep = np.unique(row[place < most])
+        return pa.table({"a": node[x[keep]], "b": node[y[keep]], "pa": low[keep], "pb": high[keep], "e": e[keep], "more": np.full(len(keep), len(keep) < len(x))})
+
+    return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long, pa long, pb long, e double, more boolean")
 
 
 def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,21 +222,27 @@ def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = cut(_estimated(pairs, nodes), "pairs")
     links, *used = _verified(tested, nodes, texts)
     links = cut(links, "links")
-    members_left = members.select("band", "key", "node")
+    shared = members.select("band", "key", "node")
+    slots, most = 2, 16
+    parts = cut(connected_components(links), "parts")
     while True:
         for t in used:
             drop(t)
-        parts = cut(connected_components(links), "parts")
-        more = _rest(members_left, nodes, parts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        # each member's best untested partner in each other component
-        labelled = more.join(parts.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
-        labelled = labelled.withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")})
-        best = labelled.groupBy("a", "pb").agg(F.max_by("b", "e").alias("b")).select("a", "b").union(labelled.groupBy("b", "pa").agg(F.max_by("a", "e").alias("a")).select("a", "b"))
-        new = cut(best.distinct(), "pairs")
+        some = cut(_rest(shared, nodes, parts, most), "candidates")
+        fresh = some.join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(slots)))
+        pair = F.max_by(F.struct("a", "b"), "e").alias("x")
+        best = fresh.groupBy("pa", "slot").agg(pair).select("x.a", "x.b").union(fresh.groupBy("pb", "slot").agg(pair).select("x.a", "x.b"))
+        new = cut(best.distinct(), "new")
         if new.isEmpty():
-            return made, nodes, parts
+            if some.where("more").isEmpty():
+                return made, nodes, parts
+            most, used = most * 64, (some, new)  # all that groups gave has been tested, but they had more
+            continue
         found, *used = _verified(new, nodes, texts)
         tested, links = cut(tested.select("a", "b").union(new), "tested"), cut(links.union(found), "links")
+        parts = cut(connected_components(links), "parts")
+        slots, most = slots * 8, most * 8
+        used += [some, new]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
