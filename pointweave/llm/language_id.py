@@ -27,10 +27,10 @@ from pointweave.llm.text import doc_texts, slices
 
 PIECES = "piece_bpe_32k.model"
 #: Longest piece used, in characters with the word mark.
-LONGEST = 8
+LONGEST = 7
 #: Training texts for each language (expected).
 MOST = 3000
-MEMO = 400_000
+MEMO = 500_000
 FOLDS, FOLD = 3, 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -73,40 +73,62 @@ def letter_words(chunk: str) -> list[str]:
 
 #: Characters of a run of letters that are scored at once; longer runs are scored in parts.
 PART = 200
+#: Words that advance together.
+TOGETHER = 20_000
+_BEGINNINGS: dict[int, frozenset[str]] = {}
+
+
+def beginnings(pieces: dict[str, int]) -> frozenset[str]:
+    """All beginnings of two characters or more of the pieces; kept for the vocabulary used last."""
+    if id(pieces) not in _BEGINNINGS:
+        _BEGINNINGS.clear()
+        _BEGINNINGS[id(pieces)] = frozenset(x[:k] for x in pieces for k in range(2, len(x) + 1))
+    return _BEGINNINGS[id(pieces)]
 
 
 def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
     """Log-likelihoods, one row for each word and one column for each language; ``p`` has a row for each piece."""
     out = np.zeros((len(words), p.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(k)
-    get = pieces.get
-    for n, members in by_length.items():
-        if n > PART:  # rare: a run of letters of hundreds of characters
-            for k in members:
-                w = words[k]
-                out[k] = forward([w[i : i + PART] for i in range(0, n, PART)], pieces, p).sum(0)
-            continue
-        alpha = np.zeros((n + 1, len(members), p.shape[1]))
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    short = [k for k in order if len(words[k]) <= PART]
+    for k in order[len(short) :]:  # rare: a run of letters of hundreds of characters
+        out[k] = forward([words[k][i : i + PART] for i in range(0, len(words[k]), PART)], pieces, p).sum(0)
+    get, known = pieces.get, beginnings(pieces)
+    for begin in range(0, len(short), TOGETHER):
+        members = short[begin : begin + TOGETHER]
+        arcs_at: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for w, k in enumerate(members):
+            word = words[k]
+            n = len(word)
+            for i in range(n):
+                rows, ids = arcs_at.setdefault((i + 1, i), ([], []))
+                rows.append(w)
+                ids.append(get(word[i], 0))
+                j = i + 2
+                while j <= n and (part := word[i:j]) in known:
+                    piece = get(part)
+                    if piece is not None:
+                        rows, ids = arcs_at.setdefault((j, i), ([], []))
+                        rows.append(w)
+                        ids.append(piece)
+                    j += 1
+        lengths = np.array([len(words[k]) for k in members])
+        longest = int(lengths[-1])
+        alpha = np.zeros((longest + 1, len(members), p.shape[1]))
         alpha[0] = 1.0
         log_scale = np.zeros((len(members), 1))
-        for j in range(1, n + 1):
-            total = np.zeros((len(members), p.shape[1]))
-            for i in range(max(0, j - LONGEST), j):
-                ids = [get(words[k][i:j], -1) for k in members]
-                if i == j - 1:
-                    total += alpha[i] * p[[max(0, x) for x in ids]]
-                else:
-                    at = [r for r, x in enumerate(ids) if x >= 0]
-                    if at:
-                        total[at] += alpha[i][at] * p[[ids[r] for r in at]]
-            alpha[j] = total
-            if n > 40 and j % 20 == 0:  # keep long words in range
-                s = alpha[j].max(axis=1, keepdims=True)
-                alpha[max(0, j - LONGEST) : j + 1] /= s
-                log_scale += np.log(s)
-        out[members] = np.log(alpha[n]) + log_scale
+        found = np.zeros((len(members), p.shape[1]))
+        for j, i in sorted(arcs_at):  # a word has one arc at most between two places
+            rows, ids = arcs_at[j, i]
+            alpha[j, rows] += alpha[i, rows] * p[ids]
+            if i == j - 1:  # the last arc that ends at j
+                done = np.flatnonzero(lengths == j)
+                found[done] = np.log(alpha[j, done]) + log_scale[done]
+                if longest > 40 and j % 20 == 0:  # keep long words in range
+                    top = np.maximum(alpha[j].max(axis=1, keepdims=True), 1e-300)
+                    alpha[max(0, j - LONGEST) : j + 1] /= top
+                    log_scale += np.log(top)
+        out[members] = found
     return out
 
 
@@ -174,6 +196,7 @@ class Scorer:
     def __init__(self, languages: list[str], p: np.ndarray, pieces: dict[str, int]):
         self.languages, self.p, self.pieces = languages, p, pieces
         self.place: dict[str, int] = {}
+        self.words: dict[str, np.ndarray] = {}
         self.table = np.zeros((1024, len(languages)))
         self.letters = np.zeros(1024, bool)
 
@@ -183,13 +206,12 @@ class Scorer:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         found = [letter_words(c) for c in chunks]
-        flat = list(dict.fromkeys(w for ws in found for w in ws))
-        at = {w: k for k, w in enumerate(flat)}
-        scores = forward(flat, self.pieces, self.p)
+        flat = list({w for ws in found for w in ws}.difference(self.words))
+        self.words.update(zip(flat, forward(flat, self.pieces, self.p).astype(np.float32), strict=True))
         for k, (c, ws) in enumerate(zip(chunks, found, strict=True)):
             self.place[c] = start + k
             self.letters[start + k] = bool(ws)
-            self.table[start + k] = scores[[at[w] for w in ws]].sum(0) if ws else 0.0
+            self.table[start + k] = self.words[ws[0]] if len(ws) == 1 else sum(self.words[w].astype(float) for w in ws)
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
@@ -197,6 +219,7 @@ class Scorer:
         split = [t.lower().split() for t in texts]
         if len(self.place) > MEMO:
             self.place.clear()
+            self.words.clear()
         new = list(set().union(*split).difference(self.place))
         if new:
             self._add(new)
