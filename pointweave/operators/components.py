@@ -22,7 +22,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u")
         found = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return found.where("u > v").distinct()
+    found = found.where("u > v")
+    return found if large else found.distinct()  # the small step follows a large one and removes its repeats as well
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node once as u at most, and no u as v."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("n"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("k").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    return roles.where("n > 1 or (n = 1 and root = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,12 +42,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     current = cut(plain.where("p and q and u > v").select("u", "v").distinct(), "cc")
     before = None
     for _ in range(max_rounds):
-        # a fixed point is a forest of stars: each node once as u, and no root as u
-        size = current.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
-        if size["n"] == size["nodes"]:
-            roots = current.select(F.col("v").alias("r")).distinct()
-            if current.join(roots, current.u == roots.r, "left_semi").isEmpty():
-                break
+        if _settled(current):
+            break
         large = _stars(current, True)
         after = cut(_stars(large, False), "cc")
         drop(before)
