@@ -8,8 +8,8 @@
    Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within five standard
    deviations of the threshold, and is then verified on the full shingle sets.
 3. Verified pairs give components.  Buckets whose members are not all in one component are compared again, in blocks of
-   bounded size inside tasks, and every component's few best untested pairs with others are verified, eight times as
-   many in each round; this repeats until no untested pair is left between components.  So no link that
+   bounded size inside tasks, and every component's few best untested pairs with others are verified, sixteen times
+   as many in each round; this repeats until no untested pair is left between components.  So no link that
    joins components is lost, and no group of copies, however large, is expanded into pairs.
 
 Defined results: null text, blank text and texts without words have an empty set, are linked with nothing and kept.
@@ -223,7 +223,7 @@ def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links, *used = _verified(tested, nodes, texts)
     links = cut(links, "links")
     shared = members.select("band", "key", "node")
-    slots, most = 2, 16
+    slots, most = 4, 32
     parts = cut(connected_components(links), "parts")
     while True:
         for t in used:
@@ -241,7 +241,7 @@ def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found, *used = _verified(new, nodes, texts)
         tested, links = cut(tested.select("a", "b").union(new), "tested"), cut(links.union(found), "links")
         parts = cut(connected_components(links), "parts")
-        slots, most = slots * 8, most * 8
+        slots, most = slots * 16, most * 16
         used += [some, new]
 
 
