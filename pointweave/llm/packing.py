@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.bpe import vocabulary
+from pointweave.llm.bpe import printable_bytes, vocabulary
 from pointweave.llm.text import doc_texts, slices
 from pointweave.plans.lineage import cut
 
@@ -28,6 +28,7 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END = 1
 MEMO = 800_000
+_SHOWN = {b: c for c, b in printable_bytes().items()}
 _MARKS = ".,!?;:"
 #: Letters before this one are composed, and each has its own lower case: Latin-1 and Latin Extended-A.
 _LATIN = "\u0130"
@@ -49,12 +50,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}  # chunks
         self.parts: dict[str, bytes] = {}  # words and marks
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a Latin word in lower case, which is one pre-token: the library's model alone, without its pipeline."""
+        shown = word if word.isascii() else "".join([_SHOWN[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO:
@@ -65,7 +72,12 @@ class WordEncoder:
         chunks = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         new = list(set().union(*chunks).difference(memo))
         cuts = [self._cut(c) for c in new]
-        missing = list({p for c in cuts for p in c}.difference(self.parts))
+        missing = []
+        for p in {p for c in cuts for p in c}.difference(self.parts):
+            if p.isalpha() and p.islower() and max(p) < _LATIN:
+                self.parts[p] = self._word(p)
+            else:
+                missing.append(p)
         for start in range(0, len(missing), 2000):
             part = missing[start : start + 2000]
             self.parts.update(zip(part, self._encode(part), strict=True))
