@@ -152,8 +152,7 @@ def _dbscan_queries() -> None:
     rgb = ["CAST(r AS INTEGER) AS r", "CAST(g AS INTEGER) AS g", "CAST(b AS INTEGER) AS b"]
     for key, f, sql in (("label_colors_cli", label_color, _color_sql(False)), ("label_colors_script", scene_color, _color_sql(True))):
         _add(key, lambda s, d, f=f: _labels(EV)(s, d).select("label").distinct().select("label", f().alias("c")).select("label", *[F.col(f"c.{n}").cast("int").alias(n) for n in "rgb"]), points_sql(*EV) + f", l AS (SELECT DISTINCT label FROM pts), {sql} SELECT label, {', '.join(rgb)} FROM c")
-    line = F.format_string("%.6f %.6f %.6f", *[F.col(c) for c in "xyz"])
-    _add("xyz_lines", lambda s, d: _wide(_labels(EMB)(s, d)).select("point_id", line.alias("line")), points_sql(*EMB) + " SELECT point_id, printf('%.6f %.6f %.6f', x, y, z) AS line FROM pts")
+    _add("xyz_lines", lambda s, d: _wide(_labels(EMB)(s, d)).select("point_id", F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("line")), points_sql(*EMB) + " SELECT point_id, printf('%.6f %.6f %.6f', x, y, z) AS line FROM pts")
 
 
 def _color_sql(scene: bool) -> str:

@@ -28,3 +28,24 @@ def test_query(spark, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "pointweave", tmp_path / "pointweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert 'dbscan_labels' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
