@@ -3,6 +3,7 @@
 import math
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from pointweave.catalogue import ORACLE, QUERIES
@@ -12,7 +13,12 @@ NAMES = ["dbscan_labels", "dbscan_per_group", "voxel_spans", "voxel_neighbor_lut
 
 
 def rows(df):
-    return sorted((tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
+    def plain(v):
+        if v is pd.NA or isinstance(v, float) and math.isnan(v):
+            return None
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
+    return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not there")
