@@ -5,7 +5,7 @@
    the first round) and ten mantissa bits: 16 bits.  Texts with equal shingle sets collapse to one representative.
 2. Bands of four registers put representatives into buckets; two texts of similarity 0.75 miss all 32 bands with
    probability 5e-6.  First every bucket's members are paired with its smallest member only.  A pair goes on if the
-   Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within five standard
+   Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within four standard
    deviations of the threshold, and is then verified on the full shingle sets.
 3. Verified pairs give components.  Buckets whose members are not all in one component are compared again, in blocks of
    bounded size inside tasks, and every component's few best untested pairs with others are verified, sixteen times
@@ -37,10 +37,12 @@ BUCKETS, BITS = 128, 7
 ROWS = 4
 MANTISSA = 10
 PERCENT = 75
-#: Estimates under this are not verified: five standard deviations of the estimate at the threshold.
-LEAST = 0.75 - 5 * math.sqrt(0.75 * 0.25 / BUCKETS)
+#: Estimates under this are not verified: four standard deviations of the estimate at the threshold.
+LEAST = 0.75 - 4 * math.sqrt(0.75 * 0.25 / BUCKETS)
 #: Members of a block in which all pairs of estimates are taken.
 BLOCK = 1024
+#: Shingles (8 bytes each) that a verifying task keeps.
+HELD = 4_000_000
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -149,13 +151,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[Dat
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def full_set(node: int, text: str) -> np.ndarray:
+            nonlocal held
+            found = sets.get(node)
+            if found is None:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                found = sets[node] = shingles(text)
+                held += len(found)
+            return found
+
         for b in slices(batches):
             keep = []
-            for a, ta, tb in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(ta))
-                x, y = last[1], shingles(tb)
+            for a, other, ta, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = full_set(a, ta), full_set(other, tb)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
