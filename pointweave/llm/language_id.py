@@ -16,6 +16,7 @@ in alphabetical order.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +76,40 @@ def letter_words(chunk: str) -> list[str]:
 PART = 200
 #: Words that advance together.
 TOGETHER = 20_000
-_BEGINNINGS: dict[int, frozenset[str]] = {}
 
+class Tree:
+    """The prefix tree of the pieces as arrays: all words take a step from state to state at once.
 
-def beginnings(pieces: dict[str, int]) -> frozenset[str]:
-    """All beginnings of two characters or more of the pieces; kept for the vocabulary used last."""
-    if id(pieces) not in _BEGINNINGS:
-        _BEGINNINGS.clear()
-        _BEGINNINGS[id(pieces)] = frozenset(x[:k] for x in pieces for k in range(2, len(x) + 1))
-    return _BEGINNINGS[id(pieces)]
+    State 0 is the root and, as a target, the end of the road; ``piece`` has the number of the piece that a state spells, or 0.
+    """
+
+    def __init__(self, pieces: dict[str, int]):
+        self.letters = np.zeros(0x110000, np.int64)
+        for k, c in enumerate(sorted(set().union(*pieces)), 1):
+            self.letters[ord(c)] = k
+        self.width = int(self.letters.max(initial=0)) + 1
+        states = {"": 0}
+        for x in sorted(pieces):
+            for k in range(1, len(x) + 1):
+                states.setdefault(x[:k], len(states))
+        self.piece = np.array([pieces.get(x, 0) for x in states], np.int64)
+        steps = sorted((states[x[:-1]] * self.width + int(self.letters[ord(x[-1])]), k) for x, k in states.items() if x)
+        self.keys, self.targets = (np.array(c, np.int64) for c in zip(*steps, strict=True))
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state * self.width + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], 0)
+
+
+_TREES: list[tuple[dict[str, int], Tree]] = []
+
+
+def tree(pieces: dict[str, int]) -> Tree:
+    """The tree of a vocabulary; kept for the one used last."""
+    if not _TREES or _TREES[0][0] is not pieces:
+        _TREES[:] = [(pieces, Tree(pieces))]
+    return _TREES[0][1]
 
 
 def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
@@ -93,41 +119,34 @@ def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarr
     short = [k for k in order if len(words[k]) <= PART]
     for k in order[len(short) :]:  # rare: a run of letters of hundreds of characters
         out[k] = forward([words[k][i : i + PART] for i in range(0, len(words[k]), PART)], pieces, p).sum(0)
-    get, known = pieces.get, beginnings(pieces)
+    known = tree(pieces)
     for begin in range(0, len(short), TOGETHER):
         members = short[begin : begin + TOGETHER]
-        arcs_at: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        for w, k in enumerate(members):
-            word = words[k]
-            n = len(word)
-            for i in range(n):
-                rows, ids = arcs_at.setdefault((i + 1, i), ([], []))
-                rows.append(w)
-                ids.append(get(word[i], 0))
-                j = i + 2
-                while j <= n and (part := word[i:j]) in known:
-                    piece = get(part)
-                    if piece is not None:
-                        rows, ids = arcs_at.setdefault((j, i), ([], []))
-                        rows.append(w)
-                        ids.append(piece)
-                    j += 1
         lengths = np.array([len(words[k]) for k in members])
         longest = int(lengths[-1])
-        alpha = np.zeros((longest + 1, len(members), p.shape[1]))
-        alpha[0] = 1.0
+        codes = np.array([words[k] for k in members], f"<U{max(longest, 1)}").view(np.uint32).reshape(len(members), -1)
+        letters = known.letters[codes]  # 0 beyond a word's end, where no road leads
+        sums = np.zeros((LONGEST + 1, len(members), p.shape[1]))  # of the place at hand and the LONGEST places after it
+        sums[0] = 1.0
         log_scale = np.zeros((len(members), 1))
         found = np.zeros((len(members), p.shape[1]))
-        for j, i in sorted(arcs_at):  # a word has one arc at most between two places
-            rows, ids = arcs_at[j, i]
-            alpha[j, rows] += alpha[i, rows] * p[ids]
-            if i == j - 1:  # the last arc that ends at j
-                done = np.flatnonzero(lengths == j)
-                found[done] = np.log(alpha[j, done]) + log_scale[done]
-                if longest > 40 and j % 20 == 0:  # keep long words in range
-                    top = np.maximum(alpha[j].max(axis=1, keepdims=True), 1e-300)
-                    alpha[max(0, j - LONGEST) : j + 1] /= top
-                    log_scale += np.log(top)
+        for i in range(longest + 1):
+            here = sums[i % (LONGEST + 1)]
+            if i and i % 20 == 0:  # keep long words in range
+                top = np.maximum(here.max(axis=1, keepdims=True), 1e-300)
+                sums /= top
+                log_scale += np.log(top)
+            done, live = np.searchsorted(lengths, [i, i + 1])
+            found[done:live] = np.log(here[done:live]) + log_scale[done:live]
+            rows, state = np.arange(live, len(members)), np.zeros(len(members) - live, np.int64)
+            for j in range(i + 1, min(longest, i + LONGEST) + 1):
+                state = known.step(state, letters[rows, j - 1])
+                piece = known.piece[state]
+                spelt = np.flatnonzero(piece) if j > i + 1 else np.arange(len(rows))  # one character may be no piece
+                sums[j % (LONGEST + 1), rows[spelt]] += here[rows[spelt]] * p[piece[spelt]]
+                on = np.flatnonzero(state)
+                rows, state = rows[on], state[on]
+            here[:] = 0.0
         out[members] = found
     return out
 
@@ -235,13 +254,20 @@ class Scorer:
         return out
 
 
+#: The scorer of the model used last: a worker's next task goes on with the words that it knows.
+_SCORERS: dict[str, Scorer] = {}
+
+
 def identify(docs: DataFrame, name: str = PIECES, most: int = MOST) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row; learned from rows outside the held-out fold."""
     languages, p = train(docs, name, most)
-    shared = docs.sparkSession.sparkContext.broadcast((languages, p))
+    shared, model = docs.sparkSession.sparkContext.broadcast((languages, p)), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(*shared.value, _pieces(name))
+        scorer = _SCORERS.get(model)
+        if scorer is None:
+            _SCORERS.clear()
+            scorer = _SCORERS[model] = Scorer(*shared.value, _pieces(name))
         for b in slices(batches, 1024):
             got = scorer(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
