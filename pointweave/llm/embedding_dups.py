@@ -7,8 +7,10 @@
    adjacency lists from all its blocks are united.
 3. All nodes of a shard are queries against each of its blocks: a greedy beam search from the medoid, then the range is
    expanded over the graph from every node found with a cosine over SLACK.  Pairs are verified in double precision.
-4. Recall is measured against brute force for a bounded set of queries (against all nodes).  Under TARGET the search is
-   repeated with one more overlapping shard and a wider beam.
+4. Recall is measured against brute force for a bounded set of queries (against all nodes): the mean over queries, taken
+   apart for small and large groups.  While the least of these means is under TARGET the search is repeated with other
+   centres, twice the overlapping shards and twice the beam, and adds to the pairs found before.  Where the widest search
+   stays under TARGET too, or after the first one where nodes are FEW, all nodes are compared exactly, strip by strip.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component is linked with nothing; vectors of
 different lengths are never linked.  Equal vectors are linked.  Every row gets a row; rows that repeat an id each count as
@@ -23,13 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.operators.components import connected_components
-from pointweave.plans.lineage import cut
+from pointweave.plans.lineage import cut, drop
 
 COSINE = 0.9
 SLACK = 0.82
 SHARD, CAP, MOST_SHARDS = 1000, 3000, 1024
 #: Vectors for fitting the centres, and queries for the audit (expected numbers).
-SAMPLE, AUDIT = 20_000, 200
+SAMPLE, AUDIT = 20_000, 2000
+#: Queries that a band of the audit needs to stand alone; thinner bands are taken together.
+BAND = 20
+#: Searches before the exact comparison, and vectors that a strip of it holds (expected).
+ATTEMPTS, STRIP = 3, 16_000
+#: Nodes for which comparing all pairs exactly costs less than a wider search.
+FEW = 100_000
 DEGREE, NEAR, FAR, ALPHA = 16, 40, 24, 1.2
 BEAM = 24
 TARGET = 0.95
@@ -159,12 +167,12 @@ def _members(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     return nodes.select("node", "embedding").mapInArrow(run, "shard int, node long, embedding array<double>")
 
 
-def find_pairs(nodes: DataFrame, n: int, overlap: int, beam: int, cosine: float = COSINE) -> DataFrame:
+def find_pairs(nodes: DataFrame, n: int, overlap: int, beam: int, cosine: float = COSINE, seed: int = 7) -> DataFrame:
     """Verified pairs (a, b) of nodes of one vector length."""
     sample = _sample(nodes, n, SAMPLE, 1).select("embedding").toArrow()
     if not sample.num_rows:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
-    c = centres(unit(matrix(sample.column(0).combine_chunks())), max(1, min(MOST_SHARDS, -(-n // SHARD))))
+    c = centres(unit(matrix(sample.column(0).combine_chunks())), max(1, min(MOST_SHARDS, -(-n // SHARD))), seed=seed)
     placed = _members(nodes, c, overlap)
     sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / CAP).cast("int").alias("blocks"))
     placed = cut(placed.join(F.broadcast(sizes), "shard").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shards")  # MOST_SHARDS sizes at most
@@ -197,11 +205,18 @@ def find_pairs(nodes: DataFrame, n: int, overlap: int, beam: int, cosine: float
             a, b = np.minimum(asked[q], node[p])[hit], np.maximum(asked[q], node[p])[hit]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return index.groupBy("shard", "i", "j").cogroup(queries.groupBy("qs", "qi", "qj")).applyInArrow(search, "a long, b long").distinct()
+    pairs = cut(index.groupBy("shard", "i", "j").cogroup(queries.groupBy("qs", "qi", "qj")).applyInArrow(search, "a long, b long").distinct(), "vector-pairs")
+    drop(placed)
+    drop(graph)
+    return pairs
 
 
 def recall(nodes: DataFrame, pairs: DataFrame, n: int, cosine: float = COSINE) -> float:
-    """The share of true links that ``pairs`` has, for a bounded set of queries against all nodes."""
+    """The least mean recall of a query over the bands of small to large groups, for a bounded set of queries.
+
+    Queries are compared with all nodes, and those with links fall into bands by their number of true links (1 to 3, 4 to
+    15, and so on), so that neither a large group nor its many queries can make up for links lost in small ones.
+    """
     asked = _sample(nodes, n, AUDIT, 2).select("node", "embedding").toArrow()
     if not asked.num_rows:
         return 1.0
@@ -209,16 +224,69 @@ def recall(nodes: DataFrame, pairs: DataFrame, n: int, cosine: float = COSINE) -
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                s = unit(matrix(b.column(1))) @ y.T
-                r, c = np.nonzero(s >= cosine)
-                node = b.column(0).to_numpy()[r]
-                keep = node != ids[c]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, ids[c])[keep]), pa.array(np.maximum(node, ids[c])[keep])], names=["a", "b"])
+            x, node, n = unit(matrix(b.column(1))) if b.num_rows else np.zeros((0, y.shape[1])), b.column(0).to_numpy(), np.zeros(len(ids), np.int64)
+            for begin in range(0, len(x), 1024):
+                hit = x[begin : begin + 1024] @ y.T >= cosine
+                n += (hit & (node[begin : begin + 1024, None] != ids)).sum(0)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at])], names=["node", "n"])
+
+    true = nodes.select("node", "embedding").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    some = _sample(nodes, n, AUDIT, 2).select("node")
+    found = ends.join(F.broadcast(some), "node").groupBy("node").agg(F.count("*").alias("f"))  # AUDIT ids
+    rows = true.join(found, "node", "left").select("n", F.coalesce("f", F.lit(0)).alias("f")).collect()  # a row for each query at most
+    bands: dict[int, list[float]] = {}
+    for r in rows:
+        bands.setdefault((r["n"].bit_length() - 1) // 2, []).append(min(1.0, r["f"] / r["n"]))
+    thin = [x for b in bands.values() if len(b) < BAND for x in b]
+    means = [float(np.mean(b)) for b in (*(b for b in bands.values() if len(b) >= BAND), thin) if b]
+    return min(means, default=1.0)
+
+
+def exact_pairs(nodes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
+    """All pairs (a, b) of nodes of one vector length: each strip of nodes against all nodes, without an exchange."""
+    strips, found = -(-n // STRIP), None
+    for k in range(strips):
+        strip = nodes.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(strips)) == k).select("node", "embedding").toArrow()
+        if not strip.num_rows:
+            continue
+        ids, y = strip.column(0).to_numpy(), matrix(strip.column(1).combine_chunks())
+
+        def run(batches, ids=ids, y=y):
+            u, length = unit(y), np.linalg.norm(y, axis=1)
+            for b in batches:
+                node, x = b.column(0).to_numpy(), matrix(b.column(1)) if b.num_rows else np.zeros((0, y.shape[1]))
+                for begin in range(0, len(x), 256):
+                    part, own = x[begin : begin + 256], node[begin : begin + 256]
+                    r, c = np.nonzero((unit(part) @ u.T >= cosine - 1e-9) & (own[:, None] < ids))
+                    for some in range(0, len(r), 100_000):
+                        p, q = r[some : some + 100_000], c[some : some + 100_000]
+                        hit = np.einsum("pd,pd->p", y[q], part[p]) / (length[q] * np.linalg.norm(part, axis=1)[p]) >= cosine
+                        yield pa.RecordBatch.from_arrays([pa.array(own[p][hit], pa.int64()), pa.array(ids[q][hit], pa.int64())], names=["a", "b"])
+
+        pairs = cut(nodes.select("node", "embedding").mapInArrow(run, "a long, b long"), "exact-pairs")
+        found = pairs if found is None else found.union(pairs)
+    return found
 
-    true = nodes.select("node", "embedding").mapInArrow(run, "a long, b long").distinct()
-    row = true.join(pairs.withColumn("_f", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("_f").alias("f")).first()
-    return row["f"] / row["n"] if row["n"] else 1.0
+
+def all_pairs(nodes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
+    """Pairs of nodes of one vector length, searched until the audit is content, or else compared exactly."""
+    found = None
+    for attempt in range(ATTEMPTS):
+        pairs = find_pairs(nodes, n, 2 << attempt, BEAM << attempt, cosine, 7 + attempt)
+        if found is not None:
+            before, fresh = found, pairs
+            pairs = cut(before.union(fresh).distinct(), "vector-pairs")
+            drop(before)
+            drop(fresh)
+        found = pairs
+        if recall(nodes, found, n, cosine) >= TARGET:
+            return found
+        if n <= FEW:
+            break
+    drop(found)
+    return exact_pairs(nodes, n, cosine)
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -228,11 +296,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     lengths = [r["d"] for r in nodes.select(F.size("embedding").alias("d")).distinct().collect()]
     for d in lengths:  # as a rule one
         same = nodes.where(F.size("embedding") == d)
-        n = same.count()
-        for attempt in range(3):
-            pairs = cut(find_pairs(same, n, 2 + attempt, BEAM << attempt, cosine), "vector-pairs")
-            if recall(same, pairs, n, cosine) >= TARGET:
-                break
+        pairs = all_pairs(same, same.count(), cosine)
         found = pairs if found is None else found.union(pairs)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "a long, b long")

@@ -185,6 +185,27 @@ def test_embeddings(spark):
     assert E.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_lost_small_groups_are_found(spark, monkeypatch):
+    """A search that keeps the large group only, in every attempt."""
+    monkeypatch.setattr(E, "STRIP", 40)
+    monkeypatch.setattr(E, "FEW", 0)
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=16)
+    rows = [(k, (middle + rng.normal(0, 0.05, 16)).tolist()) for k in range(60)]
+    for k in range(60, 120, 2):
+        middle = rng.normal(size=16)
+        rows += [(k + j, (middle + rng.normal(0, 0.05, 16)).tolist()) for j in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def lossy(nodes, n, *_):
+        pairs = E.exact_pairs(nodes, n)
+        hot = pairs.groupBy("a").count().where("count > 1").select("a")
+        return E.cut(pairs.join(hot, "a"))
+
+    monkeypatch.setattr(E, "find_pairs", lossy)
+    assert sorted(map(tuple, E.near_duplicate_vectors(df).collect()), key=repr) == vector_brute(rows)
+
+
 def test_range_search_recall():
     rng = np.random.default_rng(3)
     x = E.unit(np.repeat(rng.normal(size=(60, 32)), 10, axis=0) + rng.normal(0, 0.2, (600, 32)))
