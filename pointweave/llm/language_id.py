@@ -27,8 +27,8 @@ from pointweave.llm.bpe import vocabulary
 from pointweave.llm.text import doc_texts, slices
 
 PIECES = "piece_bpe_32k.model"
-#: Longest piece used, in characters with the word mark.
-LONGEST = 7
+#: A vocabulary with a longer piece (in characters with the word mark) is refused; all shorter pieces are used.
+LONGEST = 64
 #: Training texts for each language (expected).
 MOST = 3000
 MEMO = 500_000
@@ -43,7 +43,9 @@ def load_pieces(name: str = PIECES) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
     found = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    kept = sorted(p for p in found if len(p) <= LONGEST and p == p.lower() and (p == _MARK or p.replace(_MARK, "", 1).isalpha()))
+    kept = sorted(p for p in found if p == p.lower() and (p == _MARK or p.replace(_MARK, "", 1).isalpha()))
+    if max(map(len, kept), default=0) > LONGEST:
+        raise ValueError(f"{name} has a piece of more than {LONGEST} characters")
     return {p: k + 1 for k, p in enumerate(kept)}
 
 
@@ -58,10 +60,10 @@ def _pieces(name: str) -> dict[str, int]:
 
 def arcs(word: str, pieces: dict[str, int]) -> list[tuple[int, int, int]]:
     """``(start, end, piece)`` for every piece inside the marked word; a character that is no piece is piece 0."""
-    n, out, get = len(word), [], pieces.get
+    n, out, get, most = len(word), [], pieces.get, tree(pieces).longest
     for i in range(n):
         out.append((i, i + 1, get(word[i], 0)))
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
+        for j in range(i + 2, min(n, i + most) + 1):
             k = get(word[i:j])
             if k is not None:
                 out.append((i, j, k))
@@ -87,6 +89,7 @@ class Tree:
         self.letters = np.zeros(0x110000, np.int64)
         for k, c in enumerate(sorted(set().union(*pieces)), 1):
             self.letters[ord(c)] = k
+        self.longest = max(map(len, pieces), default=1)
         self.width = int(self.letters.max(initial=0)) + 1
         states = {"": 0}
         for x in sorted(pieces):
@@ -120,18 +123,19 @@ def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarr
     for k in order[len(short) :]:  # rare: a run of letters of hundreds of characters
         out[k] = forward([words[k][i : i + PART] for i in range(0, len(words[k]), PART)], pieces, p).sum(0)
     known = tree(pieces)
+    most = known.longest
     for begin in range(0, len(short), TOGETHER):
         members = short[begin : begin + TOGETHER]
         lengths = np.array([len(words[k]) for k in members])
         longest = int(lengths[-1])
         codes = np.array([words[k] for k in members], f"<U{max(longest, 1)}").view(np.uint32).reshape(len(members), -1)
         letters = known.letters[codes]  # 0 beyond a word's end, where no road leads
-        sums = np.zeros((LONGEST + 1, len(members), p.shape[1]))  # of the place at hand and the LONGEST places after it
+        sums = np.zeros((most + 1, len(members), p.shape[1]))  # of the place at hand and the ``most`` places after it
         sums[0] = 1.0
         log_scale = np.zeros((len(members), 1))
         found = np.zeros((len(members), p.shape[1]))
         for i in range(longest + 1):
-            here = sums[i % (LONGEST + 1)]
+            here = sums[i % (most + 1)]
             if i and i % 20 == 0:  # keep long words in range
                 top = np.maximum(here.max(axis=1, keepdims=True), 1e-300)
                 sums /= top
@@ -139,11 +143,13 @@ def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarr
             done, live = np.searchsorted(lengths, [i, i + 1])
             found[done:live] = np.log(here[done:live]) + log_scale[done:live]
             rows, state = np.arange(live, len(members)), np.zeros(len(members) - live, np.int64)
-            for j in range(i + 1, min(longest, i + LONGEST) + 1):
+            for j in range(i + 1, min(longest, i + most) + 1):
+                if not len(rows):
+                    break
                 state = known.step(state, letters[rows, j - 1])
                 piece = known.piece[state]
                 spelt = np.flatnonzero(piece) if j > i + 1 else np.arange(len(rows))  # one character may be no piece
-                sums[j % (LONGEST + 1), rows[spelt]] += here[rows[spelt]] * p[piece[spelt]]
+                sums[j % (most + 1), rows[spelt]] += here[rows[spelt]] * p[piece[spelt]]
                 on = np.flatnonzero(state)
                 rows, state = rows[on], state[on]
             here[:] = 0.0

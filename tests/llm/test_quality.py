@@ -148,6 +148,21 @@ def test_forward_sums_all_segmentations():
         assert sum(x * (len(w) if False else 1) for _, x in counts) > 0
 
 
+def test_pieces_of_any_length_count():
+    found = L.load_pieces()
+    assert sum(len(x) >= 8 for x in found) > 4000
+    pieces = {"a": 1, "▁": 2, "a" * 12: 3, "▁" + "a" * 15: 4}
+    p = np.random.default_rng(1).dirichlet(np.ones(5), 2).T
+
+    def total(word, lang):
+        return sum(p[k, lang] * total(word[len(x) :], lang) for x, k in pieces.items() if word.startswith(x)) if word else 1.0
+
+    for w in ("▁" + "a" * 11, "▁" + "a" * 12, "▁" + "a" * 30):
+        assert L.forward([w], pieces, p)[0] == pytest.approx([log(total(w, lang)) for lang in range(2)])
+        assert sum(len(x) * n for k, n in L.expected_counts(w, pieces, p[:, 0]) for x, j in pieces.items() if j == k) == pytest.approx(len(w))
+    assert 3 in {k for _, _, k in L.arcs("▁" + "a" * 12, pieces)}
+
+
 def test_language_on_edges(spark, docs_of):
     rows = L.identify(docs_of([*EDGES, (30, "123 456"), (31, "abc " * 50)])).collect()
     assert len(rows) == len(EDGES) + 2
