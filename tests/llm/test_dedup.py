@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, embeddings, chats and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -89,6 +90,12 @@ def test_estimate_is_unbiased():
         assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.06
 
 
+def test_candidates_are_not_lost_by_the_estimate():
+    equal = range(int(near_dups.BUCKETS * near_dups.LEAST) + 1)
+    loss = sum(math.comb(near_dups.BUCKETS, k) * 0.75**k * 0.25 ** (near_dups.BUCKETS - k) for k in equal)
+    assert loss < 1e-7  # far below the banding's 5e-6
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for _ in range(150):
