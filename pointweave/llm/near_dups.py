@@ -4,18 +4,20 @@
    empty (so short texts fill them too), and a bucket keeps its smallest hash as an exponent (round, or leading zeros in
    the first round) and ten mantissa bits: 16 bits.  Texts with equal shingle sets collapse to one representative.
 2. Bands of four registers put representatives into buckets; two texts of similarity 0.75 miss all 32 bands with
-   probability 5e-6.  First every bucket's members are paired with its smallest member only.  A pair goes on if the
-   Jaccard estimate from the registers, corrected for chance collisions of compressed registers, is within six standard
-   deviations of the threshold, and is then verified on the full shingle sets.
-3. Verified pairs give components.  Buckets whose members are not all in one component are compared again, in blocks of
-   bounded size inside tasks, and every component's few best untested pairs with others are verified, sixteen times
-   as many in each round; this repeats until no untested pair is left between components.  So no link that
-   joins components is lost, and no group of copies, however large, is expanded into pairs.
+   probability 5e-6.  A candidate pair goes on if the Jaccard estimate from the registers, corrected for chance collisions
+   of compressed registers, is within six standard deviations of the threshold, and is verified on the full shingle sets.
+3. First every bucket's members are paired with its smallest member only (the pivot), once for all buckets; a pivot's pairs
+   are a stream of texts that follow the pivot's, so a task holds two sets.  Verified pairs give components.
+4. Only buckets that still hold several components apart from their pivot are compared further, inside tasks: their members
+   are dealt to blocks bounded in members and shingles, two blocks meet in one task, and only links that join components
+   come out, less than there are members.  A pair is looked at in the first band that both share.  So the rows between
+   steps are in proportion to the members of buckets, and no link that joins components is lost.  The work inside tasks
+   is not linear: members of one bucket that lie in different components are compared with each other.
 
 Defined results: null text, blank text and texts without words have an empty set, are linked with nothing and kept.
 Equal texts are linked.  Every input row gives a row, also for repeated rows and repeated ids (all rows with the
 component's smallest id count as kept); a null id is reported as null and is kept unless it belongs to a component with
-an id.  An empty table gives an empty result; further columns are ignored.
+an id.  An empty table gives an empty result; further columns are ignored, and ``keep_one`` returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ MANTISSA = 10
 PERCENT = 75
 #: Estimates under this are not verified: six standard deviations of the estimate at the threshold.
 LEAST = 0.75 - 6 * math.sqrt(0.75 * 0.25 / BUCKETS)
-#: Members of a block in which all pairs of estimates are taken.
-BLOCK = 1024
-#: Shingles (8 bytes each) that a verifying task keeps.
-HELD = 4_000_000
+#: Members and shingles (8 bytes each) of a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Shingles that one task compares with a pivot (expected); a pivot with more is dealt to several tasks.
+CHUNK = 1_000_000
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -76,16 +78,16 @@ def registers(h: np.ndarray) -> np.ndarray:
     return (exponent << MANTISSA | mantissa).astype(np.uint16)
 
 
-def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The probability that registers of unrelated sets of these sizes agree."""
-    e = np.arange(0, 40)
+def _spread(n: np.ndarray) -> np.ndarray:
+    """For each size the probabilities of a register's exponents."""
+    m = np.maximum(n[:, None] / BUCKETS, 1e-9)
+    at_least = 1 - np.power(1 - np.power(0.5, np.arange(0, 40))[None, :], m)  # the smallest hash has e leading zeros or more
+    return at_least - np.concatenate([at_least[:, 1:], np.zeros((len(n), 1))], axis=1)
 
-    def spread(n):
-        m = np.maximum(n[:, None] / BUCKETS, 1e-9)
-        at_least = 1 - np.power(1 - np.power(0.5, e)[None, :], m)  # the smallest hash has e leading zeros or more
-        return at_least - np.concatenate([at_least[:, 1:], np.zeros((len(n), 1))], axis=1)
 
-    return (spread(na) * spread(nb)).sum(1) / (1 << MANTISSA)
+def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The probability that registers of unrelated sets of these sizes agree."""
+    return (_spread(na) * _spread(nb)).sum(1) / (1 << MANTISSA)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def bands(representatives: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and estimate leave the threshold possible."""
+    """Pairs (a, b, nb: shingles of b) whose sizes and estimate leave the threshold possible."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(PERCENT) * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb")
 
@@ -133,96 +135,127 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if b.num_rows:
                 ra, rb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
                 e = estimate(ra, rb, b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(e >= LEAST))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], names=["a", "b", "nb"]).filter(pa.array(e >= LEAST))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, nb long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) whose full shingle sets reach the threshold, and the tables to drop later; ``pairs`` is a cut table."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.select("node", "doc_id", "text_hash").join(ends, "node", "left_semi"), "wanted")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes (node, doc_id, text_hash; a cut table)."""
+    texts = doc_texts(docs).withColumn("text_hash", F.xxhash64("text"))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    key = F.broadcast(wanted) if few else wanted
-    w = key.select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    found = texts.join(w, (texts.text_hash == w._h) & texts.doc_id.eqNullSafe(w._d)).select("node", "text").dropDuplicates(["node"])
-    found = cut(found, "texts")
-    side = lambda s: found.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+    w = (F.broadcast(wanted) if few else wanted).select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    return texts.join(w, (texts.text_hash == w._h) & texts.doc_id.eqNullSafe(w._d)).select("node", "text").dropDuplicates(["node"])
 
-    def run(batches):
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-
-        def full_set(node: int, text: str) -> np.ndarray:
-            nonlocal held
-            found = sets.get(node)
-            if found is None:
-                if held > HELD:
-                    sets.clear()
-                    held = 0
-                found = sets[node] = shingles(text)
-                held += len(found)
-            return found
-
-        for b in slices(batches):
-            keep = []
-            for a, other, ta, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = full_set(a, ta), full_set(other, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, "a long, b long"), found, wanted
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (a, b, nb; a cut table) whose full shingle sets reach the threshold.
 
-def _rest(members: DataFrame, nodes: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-    """Candidate pairs ``a, b, pa, pb, e, more`` between components that share a bucket, best first if there are many.
+    Rows are dealt by pivot and chunk and sorted, the pivot's text first, so that each text is met once for each of its pivots.
+    """
+    chunks = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / CHUNK).cast("int").alias("chunks"))
+    side = texts.select(F.col("node").alias("b"), "text")
+    others = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b").join(side, "b")
+    pivots = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(side.withColumnRenamed("b", "a"), "a")
+    rows = others.select("a", "chunk", "b", "text").union(pivots.select("a", "chunk", F.lit(None).cast("long"), "text"))
+    dealt = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b")  # the pivot's null comes first
 
-    A bucket of more than BLOCK members is dealt to blocks, and every two blocks meet in one group of bounded size; each
-    group gives the ``most`` best pairs of each component; ``more`` tells that it had others.
+    def run(batches):
+        pivot = np.zeros(0, np.uint64)
+        for batch in slices(batches):
+            a, b = [], []
+            for x, y, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = shingles(text)
+                if y is None:
+                    pivot = found
+                    continue
+                both = len(np.intersect1d(pivot, found, assume_unique=True))
+                if 100 * both >= PERCENT * (len(pivot) + len(found) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def spanning_links(part: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int) -> list[tuple[int, int]]:
+    """Verified pairs of places, one from ``left`` and one from ``right``, that join different parts; no pair is left out
+    unless its parts are joined already, its estimate is too low, or an earlier band has it.
     """
-    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, ["band", "key"]).join(nodes.select("node", "n_shingles", "registers"), "node")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
+    size = len(sets)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    owner = np.repeat(np.arange(size), n)
+    # a set of which over a quarter occurs nowhere else reaches no other one; leaving it out can leave others alone
+    able = np.ones(size, bool)
+    while True:
+        live = able[owner]
+        common = np.bincount(code[live], minlength=code.max() + 1)[code] > 1
+        still = able & (100 * np.add.reduceat(common & live, starts, dtype=np.int64) >= PERCENT * n)
+        if still.sum() == able.sum():
+            break
+        able = still
+    root = np.unique(part, return_inverse=True)[1]
+    keys = np.ascontiguousarray(regs).view(np.int64).reshape(size, -1)
+    spread = _spread(n.astype(float))
+    own = np.zeros(code.max() + 1, bool)
+    one_block = len(left) == len(right) and bool((left == right).all())
+    found = []
+    for place, k in enumerate(left):
+        if not able[k]:
+            continue
+        other = right[place + 1 :] if one_block else right
+        other = other[able[other] & (root[other] != root[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))]
+        same = (regs[other] == regs[k]).mean(1)
+        near = same >= LEAST  # the correction only lowers an estimate
+        other, same = other[near], same[near]
+        if not len(other):
+            continue
+        c = spread[other] @ spread[k] / (1 << MANTISSA)
+        other = other[((same - c) / (1 - c) >= LEAST) & ((keys[other] == keys[k]).argmax(1) == band)]
+        if not len(other):
+            continue
+        own[code[starts[k] : starts[k] + n[k]]] = True
+        if len(other) < 32:
+            both = np.array([own[code[starts[j] : starts[j] + n[j]]].sum() for j in other])
+        else:
+            both = np.add.reduceat(own[code], starts, dtype=np.int64)[other]
+        own[code[starts[k] : starts[k] + n[k]]] = False
+        for j in other[100 * both >= PERCENT * (n[k] + n[other] - both)]:
+            if root[j] != root[k]:
+                found.append((int(k), int(j)))
+                root[root == root[j]] = root[k]
+    return found
+
+
+def _rest(members: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join the components left in a bucket; pairs with the pivot have been tested before."""
+    placed = members.where("node > pivot").join(parts, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
+    several = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
+    mixed = cut(placed.join(several, ["band", "key"]).join(nodes.select("node", "n_shingles", "registers"), "node"), "mixed")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = mixed.join(mixed.groupBy("band", "key").agg(blocks.alias("blocks")), ["band", "key"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("band", "key", "p", "q", "i", "node", "part", "n_shingles", "registers", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        node, part, n = (table.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        block, p, q = table.column("i").to_numpy(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        node, part, n, block = (table.column(c).to_numpy() for c in ("node", "part", "n_shingles", "i"))
+        p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
         found = []
-        for k in left:
-            other = right[(part[right] != part[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
-            same = (regs[other] == regs[k]).mean(1)
-            other, same = other[same >= LEAST], same[same >= LEAST]  # the correction only lowers an estimate
-            if len(other):
-                c = chance(n[other].astype(float), np.full(len(other), float(n[k])))
-                e = (same - c) / (1 - c)
-                fine = e >= LEAST
-                found.append((np.full(fine.sum(), k), other[fine], e[fine]))
-        if not found:
-            return pa.table({c: pa.array([], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("pa", pa.int64()), ("pb", pa.int64()), ("e", pa.float64()), ("more", pa.bool_()))})
-        x, y, e = (np.concatenate(f) for f in zip(*found, strict=True))
-        swap = node[x] > node[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        low, high = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
-        ends, row = np.concatenate([low, high]), np.tile(np.arange(len(x)), 2)
-        order = np.lexsort((-e[row], ends))
-        ends, row = ends[order], row[order]
-        begin = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-        place = np.arange(len(ends)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(ends)]])))
-        keep = np.unique(row[place < most])
-        return pa.table({"a": node[x[keep]], "b": node[y[keep]], "pa": low[keep], "pb": high[keep], "e": e[keep], "more": np.full(len(keep), len(keep) < len(x))})
-
-    return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long, pa long, pb long, e double, more boolean")
-
-
-def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketch table with row numbers (``row, doc_id, text_hash, n_shingles, node``) and ``(node, component)``."""
-    texts = doc_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+        if (block == p).any() and (block == q).any():
+            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            sets = [shingles(t.as_py()) for t in table.column("text")]
+            found = spanning_links(part, n, regs, sets, np.flatnonzero(block == p), np.flatnonzero(block == q), band)
+        ends = [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([y for _, y in ends], pa.int64())})
+
+    links = cut(rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long"), "links")
+    drop(mixed)
+    return links
+
+
+def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches with row numbers (``row, doc_id, text_hash, n_shingles, digest``), nodes and ``(node, component)``; cut tables."""
     made = cut(sketch(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = made.where("digest is not null")
     # one node for each distinct set: its first row
@@ -231,31 +264,20 @@ def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = bands(nodes)
     pivots = banded.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(pivots.select("band", "key", "pivot"), ["band", "key"]), "members")
-    pairs = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut(_estimated(pairs, nodes), "pairs")
-    links, *used = _verified(tested, nodes, texts)
-    links = cut(links, "links")
-    shared = members.select("band", "key", "node")
-    slots, most = 4, 32
+    wanted = cut(nodes.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    texts = cut(_texts(docs, wanted), "texts")
+    stars = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    tested = cut(_estimated(stars, nodes), "pairs")
+    links = cut(_verified(tested, texts), "links")
     parts = cut(connected_components(links), "parts")
-    while True:
-        for t in used:
-            drop(t)
-        some = cut(_rest(shared, nodes, parts, most), "candidates")
-        fresh = some.join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(slots)))
-        pair = F.max_by(F.struct("a", "b"), "e").alias("x")
-        best = fresh.groupBy("pa", "slot").agg(pair).select("x.a", "x.b").union(fresh.groupBy("pb", "slot").agg(pair).select("x.a", "x.b"))
-        new = cut(best.distinct(), "new")
-        if new.isEmpty():
-            if some.where("more").isEmpty():
-                return made, nodes, parts
-            most, used = most * 64, (some, new)  # all that groups gave has been tested, but they had more
-            continue
-        found, *used = _verified(new, nodes, texts)
-        tested, links = cut(tested.select("a", "b").union(new), "tested"), cut(links.union(found), "links")
-        parts = cut(connected_components(links), "parts")
-        slots, most = slots * 16, most * 16
-        used += [some, new]
+    joins = _rest(members, nodes, parts, texts)
+    if not joins.isEmpty():  # what is known goes on as stars
+        first = parts
+        parts = cut(connected_components(first.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(joins)), "parts")
+        drop(first)
+    for t in (members, wanted, texts, tested, links, joins):
+        drop(t)
+    return made, nodes, parts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -282,13 +304,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("text_hash") == F.col("kh"))
     losers = cut(groups.where(~same).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "losers")
     repeated = groups.where(same).groupBy("part", "kd", "kh").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kd").alias("_d"), F.col("kh").alias("_h"))
-    columns = docs.columns
-    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    # the row goes as one struct, so that its columns may have any name
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    keyed = keyed.withColumns({"_i": F.col("_row.doc_id").cast("long"), "_t": F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit("")))})
     on = lambda k: keyed._i.eqNullSafe(k._d) & (keyed._t == k._h)
     few = losers.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = keyed.join(F.broadcast(losers) if few else losers, on(losers), "left_anti")
     if repeated.isEmpty():
-        return left.select(*columns)
+        return left.select("_row.*")
     keyed = left
     again = left.join(repeated, on(repeated), "left_semi").dropDuplicates(["_i", "_t"])
-    return left.join(repeated, on(repeated), "left_anti").union(again).select(*columns)
+    return left.join(repeated, on(repeated), "left_anti").union(again).select("_row.*")

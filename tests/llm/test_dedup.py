@@ -63,14 +63,59 @@ def test_near_duplicates(docs_of):
     assert sorted(map(tuple, near_dups.near_duplicates(docs_of(rows)).collect()), key=repr) == near_brute(rows)
 
 
+def chain_rows():
+    words = [f"w{j}" for j in range(80)]
+    return [(k, " ".join(words[5 * k : 5 * k + 40])) for k in range(8)] + [(50 + k, " ".join(words[:40] + [f"e{k}"] * k)) for k in range(5)]
+
+
 def test_blocks_find_what_pivots_miss(docs_of, monkeypatch):
     """A chain whose ends are not similar, in blocks of two members."""
     monkeypatch.setattr(near_dups, "BLOCK", 2)
-    words = [f"w{j}" for j in range(80)]
-    rows = [(k, " ".join(words[5 * k : 5 * k + 40])) for k in range(8)] + [(50 + k, " ".join(words[:40] + [f"e{k}"] * k)) for k in range(5)]
+    rows = chain_rows()
     assert sorted(map(tuple, near_dups.near_duplicates(docs_of(rows)).collect()), key=repr) == near_brute(rows)
 
 
+def hot_rows():
+    """One group of which copies differ by up to a third of their words: many are near the threshold with each other."""
+    rng = random.Random(21)
+    base = [f"w{j}" for j in range(70)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 160):
+        words, share = list(base), rng.choice([1, 2, 2, 3, 4, 5])
+        for j in rng.sample(range(70), share):
+            words[j] = rng.choice(["aa", "bb", f"n{k}"])
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 20, "CHUNK": 300, "BROADCAST_IDS": 0}, {"BLOCK_SHINGLES": 500, "BROADCAST_IDS": 0}])
+def test_large_group_of_near_copies(docs_of, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dups, name, value)
+    rows = hot_rows()
+    assert sorted(map(tuple, near_dups.near_duplicates(docs_of(rows)).collect()), key=repr) == near_brute(rows)
+
+
+def test_links_of_a_block():
+    """Every pair of different parts that reaches the threshold is joined by the links that come out, and no other pair."""
+    sets = [near_dups.shingles(t) for _, t in hot_rows()]
+    n, regs = np.array([len(x) for x in sets]), np.array([near_dups.registers(x) for x in sets])
+    at = np.arange(len(sets))
+    found = [p for band in range(near_dups.BUCKETS // near_dups.ROWS) for p in near_dups.spanning_links(at, n, regs, sets, at, at, band)]
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in at for b in range(a)}
+    linked = {p for p, x in both.items() if 100 * x >= 75 * (n[p[0]] + n[p[1]] - x)}
+    assert {(max(p), min(p)) for p in found} <= linked
+
+    def parts(pairs):
+        root = at.copy()
+        for a, b in pairs:
+            root[root == root[a]] = root[b]
+        return sorted(sorted(np.flatnonzero(root == r).tolist()) for r in set(root.tolist()))
+
+    shared = {(a, b) for a, b in linked if (regs[a].view(np.int64) == regs[b].view(np.int64)).any()}
+    assert parts(found) == parts(shared)
+
+
 def test_keep_one(docs_of):
     docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (4, "other words are in this one"), (5, "z z z z z z z"), (5, "z z z z z z z")])
     got = near_dups.keep_one(docs)
@@ -78,6 +123,17 @@ def test_keep_one(docs_of):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 3, 4, 5]
 
 
+@pytest.mark.parametrize("broadcast", [None, 0])
+def test_keep_one_with_clashing_names(spark, monkeypatch, broadcast):
+    if broadcast is not None:
+        monkeypatch.setattr(near_dups, "BROADCAST_IDS", broadcast)
+    names = ["doc_id", "text", "_i", "_t", "_row", "_d", "_h", "node", "a.b", "component", "spans"]
+    docs = spark.createDataFrame([(k, t, *"xyzuvwpqr") for k, t in [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None)]], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names[2:])}")
+    got = near_dups.keep_one(docs)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e f", *"xyzuvwpqr"), (3, None, *"xyzuvwpqr")]
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     for n in (5, 60, 900):
