@@ -7,20 +7,28 @@
 A point is *core* when at least ``min_pts`` points, itself included, lie within ``eps`` (inclusive).  Clusters are the
 components of the core points; clusters are numbered from 1 in Morton order of their first core point, border points
 take the lowest cluster number among their core neighbours, everything else is 0.
+
+A cloud (or one value of ``partition_by``) of at most ``task_points`` rows, a checked number, is clustered inside one task
+(kernel.py), so many scans run side by side without an exchange but the one that gathers each; larger ones follow the plan.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.exprs import HALF_OFFSETS, check_parameters, f32, is_finite, morton_code, squared_distance, squared_radius, voxel_coordinate
 from pointweave.operators.components import connected_components
-from pointweave.plans.lineage import cut
+from pointweave.operators.index import global_rank
+from pointweave.operators.kernel import cluster
+from pointweave.plans.lineage import cut, drop
 
 #: Up to this many core-core edges (16 bytes each) the components are found on the driver; beyond it in Spark.
 DRIVER_EDGES = 1_000_000
+#: Rows of a cloud (20 bytes each) that one task clusters by itself.
+TASK_POINTS = 250_000
 
 
 def sites(points: DataFrame, eps: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -79,8 +87,6 @@ def _union_find(edges: DataFrame) -> DataFrame:
         if np.array_equal(new, root):
             break
         root = new
-    import pyarrow as pa
-
     return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(nodes[root], pa.int64())}))
 
 
@@ -91,43 +97,79 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
 
 
 def site_labels(points: DataFrame, eps: float, min_pts: int, keys: tuple[str, ...] = (), driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """Per distinct coordinate: keys, x, y, z, site, is_core, label."""
-    grid = cut(sites(points, eps, keys), "sites")
-    pairs = cut(site_pairs(grid, eps, keys), "pairs")
-    flagged = cut(neighbor_counts(grid, pairs, keys).withColumn("is_core", F.col("n") >= min_pts), "core")
-    core = flagged.where("is_core").select("site", morton_code().alias("code"), *keys)
+    """Per distinct coordinate: keys, x, y, z, is_core, label.
+
+    ``site`` is a number of its own here, unique over all keys: point ids may repeat from key to key.
+    """
+    grid = sites(points, eps, keys).withColumnRenamed("site", "least_id").withColumn("site", F.monotonically_increasing_id())
+    grid = cut(grid, "sites")  # written once, so the numbers stay
+    pairs = cut(site_pairs(grid, eps, keys).select("a", "wa", "b", "wb"), "pairs")
+    flagged = cut(neighbor_counts(grid, pairs).withColumn("is_core", F.col("n") >= min_pts), "core")
+    core = flagged.where("is_core").select("site", morton_code().alias("code"), "least_id", *keys)
     ids = core.select("site")
-    linked = pairs.join(ids.withColumnRenamed("site", "a"), "a", "left_semi").join(ids.withColumnRenamed("site", "b"), "b", "left_semi").select("a", "b")
-    parts = components(cut(linked, "links"), driver_edges)
-    rooted = core.join(parts, core.site == parts.node, "left").select(*keys, "site", "code", F.coalesce("component", "site").alias("root"))
-    # clusters are few: their numbers come from a window over one row for each, sliced by key
-    first = rooted.groupBy(*keys, "root").agg(F.min(F.struct("code", "site")).alias("first"))
-    order = Window.partitionBy(*keys).orderBy("first") if keys else Window.orderBy("first")
-    numbered = first.select(*keys, "root", F.row_number().over(order).cast("long").alias("label"))
-    labelled = cut(rooted.join(numbered, [*keys, "root"]).select("site", "label"), "core-labels")
+    linked = cut(pairs.join(ids.withColumnRenamed("site", "a"), "a", "left_semi").join(ids.withColumnRenamed("site", "b"), "b", "left_semi").select("a", "b"), "links")
+    parts = components(linked, driver_edges)
+    rooted = core.join(parts, core.site == parts.node, "left").select(*keys, "site", "code", "least_id", F.coalesce("component", "site").alias("root"))
+    first = rooted.groupBy(*keys, "root").agg(F.min(F.struct("code", "least_id")).alias("first"))
+    ranked = global_rank(first.select(*keys, "root", "first.code", "first.least_id"), [*keys, "code", "least_id", "root"], "rank")
+    if keys:  # ranks of a key follow each other
+        starts = ranked.groupBy(*keys).agg(F.min("rank").alias("start"))
+        ranked = ranked.join(starts, list(keys)).withColumn("rank", F.col("rank") - F.col("start"))
+    numbered = ranked.select("root", (F.col("rank") + 1).alias("label"))
+    labelled = cut(rooted.join(numbered, "root").select("site", "label"), "core-labels")
     ends = pairs.select(F.col("a").alias("site"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("site"), F.col("a").alias("other")))
     rest = flagged.where("not is_core").select("site")
     border = ends.join(rest, "site", "left_semi").join(labelled.withColumnRenamed("site", "other"), "other").groupBy("site").agg(F.min("label").alias("label"))
     known = labelled.union(border)
-    return flagged.join(known, "site", "left").select(*keys, "x", "y", "z", "site", "is_core", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+    found = cut(flagged.join(known, "site", "left").select(*keys, "x", "y", "z", "is_core", F.coalesce("label", F.lit(0).cast("long")).alias("label")), "site-labels")
+    for t in (grid, pairs, flagged, linked, labelled):
+        drop(t)
+    return found
+
+
+def _in_tasks(cloud: DataFrame, eps: float, min_pts: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each key's rows (or all rows) in one task."""
+    schema = cloud.withColumns({"is_core": F.lit(False), "label": F.lit(0).cast("long")}).schema
+
+    def run(t: pa.Table) -> pa.Table:
+        xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1).astype(np.float32)  # null: NaN
+        ids = t.column("point_id").fill_null(0).to_numpy()
+        is_core, label = cluster(xyz, ids, eps, min_pts)
+        return t.append_column("is_core", pa.array(is_core)).append_column("label", pa.array(label))
+
+    return cloud.groupBy(*keys).applyInArrow(run, schema)
 
 
-def dbscan(points: DataFrame, eps: float, min_pts: int, partition_by: str | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def _by_plan(cloud: DataFrame, eps: float, min_pts: int, keys: tuple[str, ...], driver_edges: int) -> DataFrame:
+    found = site_labels(cloud, eps, min_pts, keys, driver_edges)
+    ok = cloud.where(is_finite("x", "y", "z")).join(found, [*keys, "x", "y", "z"], "left")
+    odd = cloud.where(~is_finite("x", "y", "z")).withColumns({"is_core": F.lit(False), "label": F.lit(0).cast("long")})
+    columns = [*keys, "point_id", "x", "y", "z", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("label", F.lit(0).cast("long")).alias("label")]
+    return ok.select(*columns).union(odd.select(*columns))
+
+
+def dbscan(points: DataFrame, eps: float, min_pts: int, partition_by: str | None = None, driver_edges: int = DRIVER_EDGES, task_points: int = TASK_POINTS) -> DataFrame:
     """Labels every row of ``points`` (point_id BIGINT unique, x, y, z; further columns are ignored).
 
     Returns ``[partition_by,] point_id, x, y, z, is_core, label``.  Rows with a null or non-finite coordinate are noise.
-    ``partition_by`` clusters each of its values apart, in the same jobs.
+    ``partition_by`` clusters each of its values apart (null is one of them); ids need to be unique only within a value.
+    ``task_points`` 0 sends every cloud through the distributed plan.
     """
     check_parameters(eps, min_pts)
-    keys = (partition_by,) if partition_by else ()
-    cloud = points.select(*keys, F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("float").alias(c) for c in "xyz"])
-    if not keys:
-        found = site_labels(cloud, eps, min_pts, (), driver_edges)
-        named = ["x", "y", "z"]
-    else:
-        found = site_labels(cloud, eps, min_pts, keys, driver_edges)
-        named = [*keys, "x", "y", "z"]
-    ok = cloud.where(is_finite("x", "y", "z")).join(found.drop("site"), named, "left")
-    odd = cloud.where(~is_finite("x", "y", "z")).withColumns({"is_core": F.lit(False), "label": F.lit(0).cast("long")})
-    columns = [*keys, "point_id", "x", "y", "z", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("label", F.lit(0).cast("long")).alias("label")]
-    return ok.select(*columns).union(odd.select(*columns))
+    xyz = [F.col(c).cast("float").alias(c) for c in "xyz"]
+    if not partition_by:
+        cloud = points.select(F.col("point_id").cast("long").alias("point_id"), *xyz)
+        if task_points and cloud.limit(task_points + 1).count() <= task_points:
+            return _in_tasks(cloud, eps, min_pts).select("point_id", "x", "y", "z", "is_core", "label")
+        return _by_plan(cloud, eps, min_pts, (), driver_edges)
+    # a struct, so that null is a key like any other
+    cloud = points.select(F.struct(F.col(partition_by).alias("v")).alias("_key"), F.col("point_id").cast("long").alias("point_id"), *xyz)
+    columns = [F.col("_key.v").alias(partition_by), "point_id", "x", "y", "z", "is_core", "label"]
+    if not task_points:
+        return _by_plan(cloud, eps, min_pts, ("_key",), driver_edges).select(*columns)
+    large = cut(cloud.groupBy("_key").count().where(F.col("count") > task_points).select("_key"), "large-keys")
+    if large.isEmpty():
+        return _in_tasks(cloud, eps, min_pts, ("_key",)).select(*columns)
+    small = _in_tasks(cloud.join(large, "_key", "left_anti"), eps, min_pts, ("_key",))
+    rest = _by_plan(cloud.join(large, "_key", "left_semi"), eps, min_pts, ("_key",), driver_edges)
+    return small.select(*columns).union(rest.select(*columns))

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from pointweave.operators import kernel
 from pointweave.operators.dbscan import dbscan
 from pointweave.operators.summary import cluster_summary, compare_sizes, label_map_differences
 
@@ -55,6 +56,7 @@ def test_case(spark, name):
     points, eps, min_pts, clusters, noise = CASES[name]
     labels = run(spark, points, eps, min_pts)
     assert (cluster_count(labels), labels.count(0)) == (clusters, noise)
+    assert run(spark, points, eps, min_pts, task_points=0) == labels  # the distributed plan
 
 
 def test_insertion_order_does_not_change_labels(spark):
@@ -75,7 +77,7 @@ def brute_force(points, eps, min_pts):
     near = (d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= np.float32(eps) * np.float32(eps)
     core = near.sum(1) >= min_pts
     inv = np.nextafter(np.float32(1) / np.float32(eps), np.float32(0))
-    v = np.floor(p * inv).astype(int) + (1 << 20)
+    v = np.floor(np.clip(p * inv, -(1 << 20), (1 << 20) - 1)).astype(int) + (1 << 20)
     code = [sum(((int(c) >> i) & 1) << (3 * i + k) for k, c in enumerate(row) for i in range(21)) for row in v]
     labels, last = [0] * len(p), 0
     for k in sorted(range(len(p)), key=lambda k: (code[k], k)):
@@ -98,7 +100,35 @@ def test_random_clouds(spark, seed, eps, min_pts, scale):
     points = np.float32(points)
     expected = brute_force(points, eps, min_pts)
     assert run(spark, points, eps, min_pts) == expected
-    assert run(spark, points, eps, min_pts, driver_edges=0) == expected  # components found in Spark
+    assert run(spark, points, eps, min_pts, task_points=0) == expected
+    assert run(spark, points, eps, min_pts, task_points=0, driver_edges=0) == expected  # components found in Spark
+
+
+@pytest.mark.parametrize("limits", [{}, {"CANDIDATES": 50}, {"CANDIDATES": 50, "LINKS": 10}])
+def test_kernel_on_random_clouds(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(kernel, name, value)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        eps = [0.5, 0.35, 1.0][seed % 3]
+        points = np.float32(rng.normal(0, [1, 3, 300][seed % 3], (120, 3)) if seed % 2 else rng.integers(-3, 4, (120, 3)) * eps)
+        points = np.concatenate([points, points[:9], np.float32([[3e7, 0, 0], [3e7, 0, 0], [-3e7, 1, 1], [np.nan, 0, 0], [np.inf, 0, 0]])])
+        is_core, label = kernel.cluster(points, np.arange(len(points)), eps, 2 + seed % 5)
+        fine = np.isfinite(points).all(1)
+        assert label[fine].tolist() == brute_force(points[fine], eps, 2 + seed % 5)
+        assert not label[~fine].any() and not is_core[~fine].any()
+
+
+@pytest.mark.parametrize("task_points", [0, 5, 250_000])
+def test_ids_may_repeat_from_key_to_key(spark, task_points):
+    rng = np.random.default_rng(6)
+    clouds = {k: np.float32(rng.normal(0, 1.5, (n, 3))) for k, n in (("a", 60), ("b", 4), (None, 50), ("c", 90))}
+    rows = [(key, i, *map(float, p)) for key, cloud in clouds.items() for i, p in enumerate(cloud)]
+    got = dbscan(spark.createDataFrame(rows, f"scan string, {SCHEMA}"), 0.6, 3, "scan", task_points=task_points).collect()
+    assert len(got) == len(rows)
+    for key, cloud in clouds.items():
+        labels = {r["point_id"]: r["label"] for r in got if r["scan"] == key}
+        assert [labels[i] for i in range(len(cloud))] == brute_force(cloud, 0.6, 3)
 
 
 @pytest.mark.parametrize(("eps", "min_pts"), [(0, 1), (-1, 1), (math.nan, 1), (math.inf, 1), (1, 0)])
