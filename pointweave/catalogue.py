@@ -113,9 +113,15 @@ def _wide(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in "xyz" if c in df.columns})
 
 
-def _labels(which, by: str | None = None):
+def _labels(which, by: str | None = None, **kw):
     name, eps, min_pts = which
-    return lambda spark, d: D.dbscan(cloud(spark, d, name), eps, min_pts, by)
+    return lambda spark, d: D.dbscan(cloud(spark, d, name), eps, min_pts, by, **kw)
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as one scan for each type, with ids that begin anew in each."""
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("point_id")).cast("long")
+    return cloud(spark, sf_dir, "ev").withColumn("point_id", place)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,8 +136,14 @@ def _add(name: str, query: Query, sql: str | None) -> None:
 
 
 def _dbscan_queries() -> None:
+    plan = {"task_points": 0}  # the distributed plan, whatever the size
     for key, which, by in (("dbscan_labels", EMB, None), ("dbscan_events", EV, None), ("dbscan_orders", OD, None), ("dbscan_per_group", ("ev", 1.0, 4), "grp")):
         _add(key, lambda s, d, w=which, b=by: _wide(_labels(w, b)(s, d)), points_sql(*which, by_group=bool(by)) + " SELECT * FROM pts")
+    of_scans = points_sql("ev", 1.0, 4, True) + " SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY point_id) AS point_id, x, y, z, is_core, label FROM pts"
+    _add("dbscan_scans", lambda s, d: _wide(D.dbscan(scans(s, d), 1.0, 4, "grp")), of_scans)
+    _add("dbscan_scans_plan", lambda s, d: _wide(D.dbscan(scans(s, d), 1.0, 4, "grp", task_points=0)), of_scans)
+    _add("dbscan_events_plan", lambda s, d: _wide(_labels(EV, task_points=0)(s, d)), points_sql(*EV) + " SELECT * FROM pts")
+
     def positions(s, d, name, eps, min_pts):
         """Duplicate-heavy input: one row for each distinct position."""
         rows = _wide(_labels((name, eps, min_pts))(s, d))
@@ -139,14 +151,14 @@ def _dbscan_queries() -> None:
 
     _add("dbscan_lineitem_duplicates", lambda s, d: positions(s, d, *LI), label_sql(*LI) + " SELECT CAST(lab.x AS DOUBLE) AS x, CAST(lab.y AS DOUBLE) AS y, CAST(lab.z AS DOUBLE) AS z, s.w, lab.is_core, lab.label FROM lab JOIN s USING (site)")
     _add("core_points", lambda s, d: _labels(EMB)(s, d).where("is_core").select("point_id"), points_sql(*EMB) + " SELECT point_id FROM pts WHERE is_core")
-    _add("core_components", lambda s, d: _labels(EV)(s, d).where("is_core").select("point_id", "label"), points_sql(*EV) + " SELECT point_id, label FROM pts WHERE is_core")
-    _add("border_points", lambda s, d: _labels(EV)(s, d).where("not is_core and label > 0").select("point_id", "label"), points_sql(*EV) + " SELECT point_id, label FROM pts WHERE NOT is_core AND label > 0")
+    _add("core_components", lambda s, d: _labels(EV, **plan)(s, d).where("is_core").select("point_id", "label"), points_sql(*EV) + " SELECT point_id, label FROM pts WHERE is_core")
+    _add("border_points", lambda s, d: _labels(EV, **plan)(s, d).where("not is_core and label > 0").select("point_id", "label"), points_sql(*EV) + " SELECT point_id, label FROM pts WHERE NOT is_core AND label > 0")
     _add("noise_points", lambda s, d: _labels(EMB)(s, d).where("label = 0").select("point_id"), points_sql(*EMB) + " SELECT point_id FROM pts WHERE label = 0")
-    _add("min_pts_one", lambda s, d: _labels(("emb", 0.05, 1))(s, d).select("point_id", "label"), points_sql("emb", 0.05, 1) + " SELECT point_id, label FROM pts")
+    _add("min_pts_one", lambda s, d: _labels(("emb", 0.05, 1), **plan)(s, d).select("point_id", "label"), points_sql("emb", 0.05, 1) + " SELECT point_id, label FROM pts")
     _add("cluster_sizes", lambda s, d: S.cluster_sizes(_labels(EV)(s, d)), points_sql(*EV) + " SELECT label, count(*) AS size FROM pts WHERE label > 0 GROUP BY label")
     _add("cluster_summary", lambda s, d: S.cluster_summary(_labels(EMB)(s, d)), points_sql(*EMB) + " SELECT count(*) AS points, coalesce(max(label), 0) AS clusters, count(DISTINCT CASE WHEN label > 0 THEN label END) AS distinct_clusters, count(*) FILTER (label = 0) AS noise FROM pts")
     _add("group_summary", lambda s, d: S.cluster_summary(_labels(("ev", 1.0, 4), "grp")(s, d), ("grp",)), points_sql("ev", 1.0, 4, True) + " SELECT grp, count(*) AS points, coalesce(max(label), 0) AS clusters, count(DISTINCT CASE WHEN label > 0 THEN label END) AS distinct_clusters, count(*) FILTER (label = 0) AS noise FROM pts GROUP BY grp")
-    _add("label_histogram", lambda s, d: _labels(OD)(s, d).groupBy("label", "is_core").agg(F.count("*").alias("n")), points_sql(*OD) + " SELECT label, is_core, count(*) AS n FROM pts GROUP BY ALL")
+    _add("label_histogram", lambda s, d: _labels(OD, **plan)(s, d).groupBy("label", "is_core").agg(F.count("*").alias("n")), points_sql(*OD) + " SELECT label, is_core, count(*) AS n FROM pts GROUP BY ALL")
     _add("size_profile", lambda s, d: S.size_profile(_labels(EMB)(s, d)).select("sizes_text"), points_sql(*EMB) + ", c AS (SELECT count(*) AS size FROM pts WHERE label > 0 GROUP BY label) SELECT coalesce(string_agg(CAST(size AS VARCHAR), ',' ORDER BY size), '') AS sizes_text FROM c")
     _add("split_output_manifest", lambda s, d: _labels(EMB)(s, d).groupBy("label").agg(F.count("*").alias("lines")).select(F.when(F.col("label") == 0, "noise.xyz").otherwise(F.concat(F.lit("cluster_"), F.col("label").cast("string"), F.lit(".xyz"))).alias("file"), "lines"), points_sql(*EMB) + " SELECT CASE WHEN label = 0 THEN 'noise.xyz' ELSE 'cluster_' || label || '.xyz' END AS file, count(*) AS lines FROM pts GROUP BY label")
     rgb = ["CAST(r AS INTEGER) AS r", "CAST(g AS INTEGER) AS g", "CAST(b AS INTEGER) AS b"]
@@ -192,9 +204,9 @@ def _index_queries() -> None:
         return _wide(D.neighbor_counts(grid, D.site_pairs(grid, 0.5))).select("x", "y", "z", "w", "n")
 
     _add("neighbor_counts", counts, f"WITH {sites_sql('li', 0.5)} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, w, n FROM s JOIN n USING (site)")
-    _add("recentred", lambda s, d: _wide(S.recentre(cloud(s, d, "od"))).select("point_id", *[F.round(c, 3).alias(c) for c in "xyz"]).agg(*[F.abs(F.round(F.avg(c), 1)).alias(c) for c in "xyz"]), f"WITH p AS ({CLOUD_SQL['od']}), c AS (SELECT CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS a, CAST(avg(CAST(y AS DOUBLE)) AS FLOAT) AS b, CAST(avg(CAST(z AS DOUBLE)) AS FLOAT) AS d FROM p) SELECT " + ", ".join(f"abs(round(avg(round(CAST({n} - {m} AS DOUBLE), 3)), 1)) AS {n}" for n, m in zip("xyz", "abd", strict=True)) + " FROM p, c")
+    _add("recentred", lambda s, d: _wide(S.recentre(cloud(s, d, "od"))).select("point_id", *[F.round(c, 2).alias(c) for c in "xyz"]), f"WITH p AS ({CLOUD_SQL['od']}), c AS (SELECT CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS a, CAST(avg(CAST(y AS DOUBLE)) AS FLOAT) AS b, CAST(avg(CAST(z AS DOUBLE)) AS FLOAT) AS d FROM p) SELECT point_id, " + ", ".join(f"round(CAST({n} - {m} AS DOUBLE), 2) AS {n}" for n, m in zip("xyz", "abd", strict=True)) + " FROM p, c")
     far = "(c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) + (c.z - o.z) * (c.z - o.z)"
-    _add("noise_candidates_anti_join", lambda s, d: far_candidates(cloud(s, d, "ev").where("point_id % 2 = 1"), cloud(s, d, "ev").where("point_id % 2 = 0"), 1.0).select("point_id"), f"WITH p AS ({CLOUD_SQL['ev']}) SELECT point_id FROM p c WHERE point_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM p o WHERE o.point_id % 2 = 0 AND {far} < {_f32(1.0)})")
+    _add("noise_candidates_anti_join", lambda s, d: far_candidates(cloud(s, d, "ev"), cloud(s, d, "od"), 1.0).select("point_id"), f"WITH c AS ({CLOUD_SQL['ev']}), o AS ({CLOUD_SQL['od']}) SELECT point_id FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE {far} < {_f32(1.0)})")
 
     def stride(s, d):
         files = cloud(s, d, "emb").select(F.format_string("scan_%06d.bin", "point_id").alias("path"))

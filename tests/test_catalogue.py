@@ -9,7 +9,7 @@ import pytest
 from pointweave.catalogue import ORACLE, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ["dbscan_labels", "dbscan_per_group", "voxel_spans", "voxel_neighbor_lut", "neighbor_counts", "label_colors_cli", "label_colors_script", "noise_candidates_anti_join", "sorted_positions", "epsilon_pairs"]
+NAMES = ["dbscan_labels", "dbscan_per_group", "voxel_spans", "voxel_neighbor_lut", "neighbor_counts", "label_colors_cli", "label_colors_script", "noise_candidates_anti_join", "sorted_positions", "epsilon_pairs", "dbscan_scans", "recentred"]
 
 
 def rows(df):
@@ -55,3 +55,12 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'dbscan_labels' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_entry_where_a_package_of_the_corpus_operators_is_missing():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; assert 'dbscan_labels' in e.queries() and not any(q.startswith('op') for q in e.queries()) and 'dbscan_labels' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
