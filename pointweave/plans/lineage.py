@@ -29,7 +29,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Materialise ``df`` in the shared folder and return a DataFrame that scans it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pointweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(f"pointweave: {name}")  # what the status page calls the step
+    try:
+        df.write.parquet(path)
+    finally:
+        context.setLocalProperty("spark.job.description", before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pointweave_path = path
     return out

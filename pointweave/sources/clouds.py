@@ -34,8 +34,9 @@ def parse_xyz(data: bytes) -> np.ndarray:
         if not line:
             continue
         try:
-            x, y, z = map(float, line.split()[:3])
-            if not np.isfinite([x, y, z]).all():
+            fields = line.split()[:3]
+            x, y, z = map(float, fields)
+            if "_" in "".join(fields) or not np.isfinite([x, y, z]).all():  # float() takes 1_0 for 10
                 raise ValueError
         except ValueError:
             raise ValueError(f"invalid .xyz row {number}") from None

@@ -1,16 +1,15 @@
 """Writers of labelled clouds: coloured XYZ, coloured PLY, one file for each cluster, and labelled scenes.
 
-Lines are formatted and sorted by Spark; a single named file is then put together from the ordered part files by the
-driver, a part at a time.
+Lines are formatted and sorted by Spark; a single named file is then put together from the ordered part files through
+Hadoop's file systems, so a target may lie on any store that Spark writes to.
 """
 
 from __future__ import annotations
 
-import shutil
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions.exprs import is_finite, label_color, morton_code, voxel_coordinate
@@ -34,56 +33,75 @@ def _lines(labelled: DataFrame, eps: float, colored: bool) -> DataFrame:
     return ordered.select("label", "_order", "point_id", line.alias("line"))
 
 
-def _collect_parts(lines: DataFrame, target: Path, header: bytes = b"") -> None:
-    """Writes ordered lines as parts beside ``target`` and joins the parts."""
-    parts = target.with_name(target.name + ".parts")
-    lines.write.mode("overwrite").text(str(parts))
-    try:
-        with target.open("wb") as out:
-            out.write(header)
-            for part in sorted(parts.glob("part-*")):
-                with part.open("rb") as f:
-                    shutil.copyfileobj(f, out)
-    finally:
-        shutil.rmtree(parts)
-
-
-def _open_folder(path: Path) -> None:
-    if not path.parent.is_dir():
-        raise OSError(f"cannot open output file: {path}")
+class _Store:
+    """The file system that Spark uses for a path, whichever it is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark._jvm
+        self.root = self.at(path)
+        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.setWriteChecksum(False)
+
+    def at(self, path: str, *below: str):
+        found = self.jvm.org.apache.hadoop.fs.Path(path)
+        for name in below:
+            found = self.jvm.org.apache.hadoop.fs.Path(found, name)
+        return found
+
+    def names(self, folder, prefix: str) -> list[str]:
+        found = (f.getPath().getName() for f in self.fs.listStatus(folder))
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def join(self, folder, target, header: bytes = b"") -> None:
+        """Writes a header and the part files of a folder, in order, as one file; a part at a time passes the driver."""
+        out = self.fs.create(target, True)
+        try:
+            out.write(bytearray(header))
+            for name in self.names(folder, "part-"):
+                part = self.fs.open(self.at(folder.toString(), name))
+                try:
+                    self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
 
 
 def write_single(labelled: DataFrame, path: str, eps: float) -> None:
     """One coloured file in Morton order, noise included."""
-    target = Path(path)
     if not is_single_file(path):
         raise ValueError(f"unsupported output format: {path}")
-    _open_folder(target)
+    store = _Store(labelled.sparkSession, path)
+    folder = store.root.getParent()
+    if folder is not None and not (store.fs.exists(folder) and store.fs.getFileStatus(folder).isDirectory()):
+        raise OSError(f"cannot open output file: {path}")
     lines = _lines(labelled, eps, True).orderBy("_order", "point_id").select("line")
     header = b""
     if extension(path) == ".ply":
         names = [f"property float {c}" for c in "xyz"] + [f"property uchar {c}" for c in ("red", "green", "blue")]
         header = ("\n".join(["ply", "format ascii 1.0", f"element vertex {labelled.count()}", *names, "end_header"]) + "\n").encode()
-    _collect_parts(lines, target, header)
+    parts = f"{path}.parts"
+    lines.write.mode("overwrite").text(parts)
+    try:
+        store.join(store.at(parts), store.root, header)
+    finally:
+        store.fs.delete(store.at(parts), True)
 
 
 def write_split(labelled: DataFrame, folder: str, eps: float) -> None:
     """``noise.xyz`` (also if empty) and ``cluster_<k>.xyz``; other files in the folder stay."""
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    parts = target / ".parts"
+    store = _Store(labelled.sparkSession, folder)
+    store.fs.mkdirs(store.root)
+    parts = store.at(folder, ".parts")
     lines = _lines(labelled, eps, False).repartition("label").sortWithinPartitions("label", "_order", "point_id")
-    lines.select("label", "line").write.mode("overwrite").partitionBy("label").text(str(parts))
+    lines.select("label", "line").write.mode("overwrite").partitionBy("label").text(parts.toString())
     try:
-        (target / "noise.xyz").write_bytes(b"")
-        for sub in sorted(parts.glob("label=*")):
-            label = int(sub.name.partition("=")[2])
-            with (target / ("noise.xyz" if label == 0 else f"cluster_{label}.xyz")).open("wb") as out:
-                for part in sorted(sub.glob("part-*")):
-                    with part.open("rb") as f:
-                        shutil.copyfileobj(f, out)
+        store.fs.create(store.at(folder, "noise.xyz"), True).close()
+        for name in store.names(parts, "label="):
+            label = int(name.partition("=")[2])
+            store.join(store.at(parts.toString(), name), store.at(folder, "noise.xyz" if label == 0 else f"cluster_{label}.xyz"))
     finally:
-        shutil.rmtree(parts)
+        store.fs.delete(parts, True)
 
 
 def write(labelled: DataFrame, path: str, eps: float) -> None:

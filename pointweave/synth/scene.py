@@ -31,7 +31,7 @@ class ClusterGroup:
     n_clusters: int
     density_factor: Number
     dimensions: dict[str, Number]
-    rotation: str | tuple[float, float, float, float] = "none"
+    rotation: str | tuple[float, float, float, float] = "random"
 
 
 @dataclass(frozen=True)
@@ -71,20 +71,22 @@ def parse_scene(data: dict) -> Scene:
     for c in data["clusters"]:
         if c.get("type") not in DIMENSIONS:
             raise ValueError(f"unknown cluster type {c.get('type')!r}")
-        if missing := [d for d in DIMENSIONS[c["type"]] if d not in c]:
+        if missing := [d for d in ("n_clusters", *DIMENSIONS[c["type"]]) if d not in c]:
             raise ValueError(f"{c['type']} needs {', '.join(missing)}")
-        rotation = c.get("rotation", "none")
+        rotation = c.get("rotation", "random")
         if isinstance(rotation, (list, tuple)):
             rotation = tuple(map(float, rotation))
             if len(rotation) != 4:
                 raise ValueError("a quaternion has four numbers: w, x, y, z")
         elif rotation not in ("none", "random"):
             raise ValueError(f"unknown rotation {rotation!r}")
-        clusters.append(ClusterGroup(c["type"], int(c.get("n_clusters", 1)), _number(c.get("density_factor", 2.0)), {d: _number(c[d]) for d in DIMENSIONS[c["type"]]}, rotation))
+        clusters.append(ClusterGroup(c["type"], int(c["n_clusters"]), _number(c.get("density_factor", 2.0)), {d: _number(c[d]) for d in DIMENSIONS[c["type"]]}, rotation))
     for n in data.get("noise", ()):
         if n.get("type") not in ("uniform", "boundary"):
             raise ValueError(f"unknown noise type {n.get('type')!r}")
-        noise.append(NoiseGroup(n["type"], float(n["ratio"]), _number(n.get("distance", (1.0, 1.5)))))
+        if missing := [k for k in ("ratio", "distance_from_cluster")[: 1 + (n["type"] == "boundary")] if k not in n]:
+            raise ValueError(f"{n['type']} noise needs {', '.join(missing)}")
+        noise.append(NoiseGroup(n["type"], float(n["ratio"]), _number(n["distance_from_cluster"]) if n["type"] == "boundary" else (1.0, 1.5)))
     eps, min_pts = float(data["dbscan"]["eps"]), int(data["dbscan"]["min_pts"])
     if not eps > 0 or min_pts < 1:
         raise ValueError("eps must be over 0 and min_pts at least 1")
@@ -147,8 +149,8 @@ def place_centres(n: int, distance: Number, eps: float, rng: np.random.Generator
             if attempt % 50 == 49:
                 reach *= 1.2
         if placed is None:
-            warnings.warn("no free place for a cluster; it is put next to the others", stacklevel=2)
-            placed = candidate
+            warnings.warn("no free place for a cluster; it is put outside the others", stacklevel=2)
+            placed = direction * (max(np.linalg.norm(c) for c in centres) + low)  # at least ``low`` from each of them
         centres.append(placed)
     out = np.array(centres)
     return out - out.mean(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +120,8 @@ def with_noise(spark: SparkSession, scene: Scene, points: DataFrame) -> DataFram
             got = found
             if found.count() >= need:
                 break
+        else:
+            warnings.warn(f"{group.type} noise: {found.count()} of {need} points found a place", stacklevel=2)
         points = cut(points.unionByName(got.select(F.lit(0).alias("cluster"), "x", "y", "z")), "scene")
     return points
 

@@ -16,7 +16,7 @@ ASCII = b"ply\nformat ascii 1.0\ncomment c\nelement vertex 2\nproperty uchar red
 
 def test_xyz():
     assert clouds.parse_xyz(b"1 2 3 9\n\n4 5 6\n").tolist() == [[1, 2, 3], [4, 5, 6]]
-    for bad in (b"# x\n", b"1 2\n", b"nan 0 0\n", b"a b c\n"):
+    for bad in (b"1_0 2 3\n", b"# x\n", b"1 2\n", b"nan 0 0\n", b"a b c\n"):
         with pytest.raises(ValueError, match=r"invalid \.xyz row"):
             clouds.parse_xyz(bad)
 
@@ -84,7 +84,7 @@ def test_split_writes_empty_noise(spark, tmp_path):
     assert (tmp_path / "o.bin/noise.xyz").read_bytes() == b""
 
 
-SCENE = {"id": "s", "seed": 5, "dbscan": {"eps": 0.5, "min_pts": 5}, "cluster_distance": [14, 20], "clusters": [{"type": "ball", "n_clusters": 2, "radius": [2.0, 2.5], "density_factor": 3.0}, {"type": "torus", "major_radius": 4, "aspect_ratio": 2, "rotation": "random", "density_factor": 3.0}], "noise": [{"type": "uniform", "ratio": 0.05}]}
+SCENE = {"id": "s", "seed": 5, "dbscan": {"eps": 0.5, "min_pts": 5}, "cluster_distance": [14, 20], "clusters": [{"type": "ball", "n_clusters": 2, "radius": [2.0, 2.5], "density_factor": 3.0}, {"type": "torus", "n_clusters": 1, "major_radius": 4, "aspect_ratio": 2, "rotation": "random", "density_factor": 3.0}], "noise": [{"type": "uniform", "ratio": 0.05}]}
 
 
 def test_scene_round_trip(spark, tmp_path):
@@ -105,8 +105,100 @@ def test_shapes_stay_in_bounds(spark, kind):
     assert np.abs(p).max() < (20 if kind == "gaussian" else 5)
 
 
+def test_shapes_are_uniform_in_their_volume(spark):
+    p = {kind: shapes.local_points(spark, kind, d, 4000, 1.0, 3).toPandas().to_numpy() for kind, d in {"ball": {"radius": 2.0}, "torus": {"major_radius": 4.0, "aspect_ratio": 2.0}, "cylinder": {"radius": 2.0, "height": 5.0}, "tube": {"radius": 0.5, "length": 5.0}, "box": {"width": 1.0, "height": 2.0, "depth": 4.0}, "gaussian": {"std": 1.5}, "crescent": {"radius": 4.0, "thickness": 1.0, "arc_fraction": 0.25}}.items()}
+    assert np.linalg.norm(p["ball"], axis=1).mean() == pytest.approx(1.5, abs=0.03)  # three quarters of the radius
+    flat = np.hypot(p["torus"][:, 0], p["torus"][:, 1])
+    assert (np.hypot(flat - 4, p["torus"][:, 2]) <= 2 + 1e-9).all() and flat.mean() == pytest.approx(4 + 4 / 16, abs=0.06)
+    for kind, radius in (("cylinder", 2.0), ("tube", 0.5)):
+        assert np.hypot(p[kind][:, 0], p[kind][:, 1]).mean() == pytest.approx(radius * 2 / 3, rel=0.02) and np.abs(p[kind][:, 2]).max() <= 2.5
+    assert np.abs(p["box"]).max(0) == pytest.approx([0.5, 1.0, 2.0], rel=0.02) and p["box"].std(0) == pytest.approx(np.array([1, 2, 4]) / 12**0.5, rel=0.05)
+    assert p["gaussian"].std(0) == pytest.approx([1.5] * 3, rel=0.05)
+    turn = np.arctan2(p["crescent"][:, 1], p["crescent"][:, 0])
+    assert turn.min() >= 0 and turn.max() <= np.pi / 2 and (np.hypot(np.hypot(p["crescent"][:, 0], p["crescent"][:, 1]) - 4, p["crescent"][:, 2]) <= 0.5 + 1e-9).all()
+
+
+def test_defaults_of_a_scene():
+    scene = sc.parse_scene({k: v for k, v in SCENE.items() if k != "noise"} | {"clusters": [{"type": "ball", "n_clusters": 1, "radius": 2}], "noise": [{"type": "boundary", "ratio": 0.1, "distance_from_cluster": [1.0, 2.0]}]})
+    assert scene.clusters[0].rotation == "random" and scene.clusters[0].density_factor == 2.0
+    assert scene.noise[0].distance == (1.0, 2.0)
+    for bad in ({"noise": [{"type": "boundary", "ratio": 0.1}]}, {"clusters": [{"type": "ball", "radius": 2}]}):
+        with pytest.raises(ValueError):
+            sc.parse_scene(SCENE | bad)
+
+
+def test_forced_places_keep_the_distance():
+    with pytest.warns(UserWarning, match="no free place"):
+        c = sc.place_centres(60, (5.0, 5.1), 1.0, np.random.default_rng(0), tries=1)
+    d = np.linalg.norm(c[:, None] - c[None], axis=2)
+    assert d[~np.eye(60, dtype=bool)].min() >= 5.0 - 1e-6 and np.allclose(c.mean(0), 0)
+
+
+SCENES = {
+    "balls and cylinders": {"eps": 0.5, "min_pts": 5, "clusters": [("ball", {"radius": [2.0, 3.0]}), ("cylinder", {"radius": 2.0, "height": 4.0})], "noise": [("uniform", 0.06)]},
+    "all shapes": {"eps": 0.35, "min_pts": 8, "clusters": [("gaussian", {"std": [0.8, 1.0]}), ("crescent", {"radius": 4.0, "thickness": 2.0, "arc_fraction": 0.6}), ("torus", {"major_radius": 4.0, "aspect_ratio": 2.0}), ("tube", {"length": 6.0, "radius": 1.0}), ("box", {"width": 3.0, "height": 3.0, "depth": 2.0})], "noise": [("uniform", 0.08), ("boundary", 0.05)]},
+}
+
+
+@pytest.mark.parametrize("name", SCENES)
+def test_scenes_by_tolerance(spark, tmp_path, name):
+    """A generated file, read again and clustered by the distributed plan, agrees with the labels written into it."""
+    from pointweave.operators.dbscan import dbscan
+    from pointweave.operators.summary import cluster_sizes, compare_sizes
+    from pointweave.synth.cli import main
+
+    want = SCENES[name]
+    clusters = [{"type": t, "n_clusters": 2, "density_factor": 3.0, **d} for t, d in want["clusters"]]
+    noise = [{"type": t, "ratio": r, **({"distance_from_cluster": [1.5, 2.5]} if t == "boundary" else {})} for t, r in want["noise"]]
+    scene = {"id": name, "seed": 11, "dbscan": {"eps": want["eps"], "min_pts": want["min_pts"]}, "cluster_distance": [16, 22], "clusters": clusters, "noise": noise}
+    (tmp_path / "s.json").write_text(json.dumps(scene))
+    assert main([str(tmp_path / "s.json"), str(tmp_path / "s.ply")]) == 0
+    meta, columns = clouds.read_labelled_ply((tmp_path / "s.ply").read_bytes())
+    assert int(meta["n_clusters"]) >= 2 * len(clusters)
+    base = len(columns["x"]) / (1 + sum(r for _, r in want["noise"]))
+    assert abs(len(columns["x"]) - base - sum(round(base * r) for _, r in want["noise"])) <= 2
+    got = dbscan(clouds.read_point_cloud(spark, str(tmp_path / "s.ply")), want["eps"], want["min_pts"], task_points=0)
+    sizes = spark.createDataFrame([(k,) for k in meta["sizes"]], "size long")
+    assert all(compare_sizes(cluster_sizes(got), sizes, got.where("label = 0").count(), int(meta["n_noise"])).values())
+
+
+def test_sizes_off_by_more_than_the_tolerance(spark):
+    from pointweave.operators.summary import compare_sizes
+
+    table = lambda *sizes: spark.createDataFrame([(k,) for k in sizes], "size long")
+    assert all(compare_sizes(table(100, 55), table(60, 97), 105, 100).values())
+    assert not compare_sizes(table(100, 54), table(60, 97), 100, 100)["sizes_match"]
+    assert not compare_sizes(table(100), table(60, 97), 100, 100)["clusters_match"]
+    assert not compare_sizes(table(100), table(100), 106, 100)["noise_match"]
+
+
+def test_scans_are_clustered_apart(spark, tmp_path):
+    """Ids begin anew in each file; each scan's labels are those of the scan alone."""
+    from pointweave.operators.dbscan import dbscan
+
+    rng = np.random.default_rng(8)
+    for k in range(3):
+        points = np.concatenate([rng.normal(0, 0.4 + 0.3 * k, (60 + 20 * k, 3)), np.zeros((60 + 20 * k, 1))], axis=1)
+        (tmp_path / f"{k}.bin").write_bytes(points.astype("<f4").tobytes())
+    for limit in (0, 250_000):
+        got = dbscan(clouds.read_scans(spark, str(tmp_path)), 0.4, 4, "path", task_points=limit).collect()
+        assert len(got) == 60 + 80 + 100
+        for k in range(3):
+            alone = dbscan(clouds.read_point_cloud(spark, str(tmp_path / f"{k}.bin")), 0.4, 4).collect()
+            assert {(r["point_id"], r["label"]) for r in got if r["path"].endswith(f"{k}.bin")} == {(r["point_id"], r["label"]) for r in alone}
+
+
+def test_first_position(spark):
+    from pointweave.operators.index import sorted_positions
+    from pointweave.operators.summary import first_position
+
+    df = spark.createDataFrame([(k, x, 0.0, 0.0) for k, x in enumerate([3.0, 1.5, 9.0, 1.5])], "point_id long, x float, y float, z float")
+    assert first_position(sorted_positions(df, 1.0), 3.0).first()[0] == 2
+    assert first_position(sorted_positions(df, 1.0), 7.0).first()[0] is None
+
+
 def test_bad_scenes():
-    for change in ({"clusters": []}, {"clusters": [{"type": "cone"}]}, {"clusters": [{"type": "ball"}]}, {"noise": [{"type": "pink", "ratio": 1}]}, {"dbscan": {"eps": 0, "min_pts": 1}}):
+    for change in ({"clusters": []}, {"clusters": [{"type": "cone"}]}, {"clusters": [{"type": "ball", "n_clusters": 1}]}, {"noise": [{"type": "pink", "ratio": 1}]}, {"dbscan": {"eps": 0, "min_pts": 1}}):
         with pytest.raises((ValueError, KeyError)):
             sc.parse_scene(SCENE | change)
 
