@@ -25,6 +25,8 @@ from pointweave.plans.lineage import cut
 #: Share of the pooled covariance in a class's covariance, and of the scaled identity in the result.
 TO_POOLED, TO_IDENTITY = 0.5, 0.01
 CUT = 0.3
+#: Labelled ids that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 FEATURES = (
     "log_words", "log_chars", "word_length", "word_length_spread", "long_words", "short_words", "distinct_words", "repeated_pairs",
     "upper", "digits", "symbols", "stops", "exclaims", "other_ascii", "non_ascii", "line_words", "repeated_lines", "top_word",
@@ -89,11 +91,15 @@ def held_out(doc_id: str = "doc_id", folds: int = _FOLDS, fold: int = 0):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, y`` of the labels that may be learned from."""
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+
+
 def fit(table: DataFrame, labels: DataFrame) -> dict:
     """Class moments of the training rows, as a model on the driver (its size depends on the features only)."""
     d = len(FEATURES)
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    rows = table.join(known, "doc_id").select("y", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
+    rows = table.join(training_labels(labels), "doc_id").select("y", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
     sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]]
     got = {r["y"]: r for r in rows.groupBy("y").agg(*sums).collect()}
     n = {y: got[y]["n"] if y in got else 0 for y in (0, 1)}
@@ -145,14 +151,22 @@ def classify(docs: DataFrame, labels: DataFrame, cut_at: float = CUT) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = CUT) -> DataFrame:
-    """Rows of ``docs`` (all columns) that score at least ``cut_at``; scored in place, so texts are not shuffled."""
-    model = fit(cut(features(docs), "statistics"), labels)
+    """Rows of ``docs`` (all columns, whatever their names) that score at least ``cut_at``; scored in place, so texts are not shuffled.
+
+    Statistics for the fit are taken of labelled rows only; their ids are broadcast if few, else joined by a shuffle.
+    """
+    ids = training_labels(labels).select(F.col("doc_id").alias("_d")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    labelled = plain.join(F.broadcast(ids) if few else ids, plain.doc_id == ids._d, "left_semi")
+    model = fit(cut(features(labelled), "statistics"), labels)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches):
-            texts = b.column(at).to_pylist()
+            texts = b.column(0).field(at).to_pylist()
             x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
             yield b.filter(pa.array(score(x, model) >= cut_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return row.mapInArrow(run, row.schema).select("_doc.*")
