@@ -25,16 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while a table is cut: batches of long texts stay small on both sides of a Python worker.
+BATCH = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Materialise ``df`` in the shared folder and return a DataFrame that scans it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pointweave/{name}-{uuid.uuid4().hex}"
-    context = spark.sparkContext
+    context, rows = spark.sparkContext, spark.conf.get(_BATCH_KEY)
     before = context.getLocalProperty("spark.job.description")
     context.setJobDescription(f"pointweave: {name}")  # what the status page calls the step
+    spark.conf.set(_BATCH_KEY, str(min(BATCH, int(rows)) if int(rows) > 0 else BATCH))
     try:
         df.write.parquet(path)
     finally:
+        spark.conf.set(_BATCH_KEY, rows)
         context.setLocalProperty("spark.job.description", before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pointweave_path = path
