@@ -5,8 +5,8 @@ into pieces (a forward recursion over its characters, so no single segmentation
 words.  Piece probabilities start from how often pieces occur inside the training words and take one expectation step
 (forward-backward counts over all segmentations).
 
-Training texts are thinned to about ``most`` for each language by a hash of the row's id; all texts are scored.  Words are
-runs of letters of the lower-cased text and begin with the vocabulary's word mark.  Scores are posterior probabilities under equal priors.
+Training texts are thinned to about ``most`` for each language by a hash of the row; all texts are scored.  Words are
+whole runs of letters of the lower-cased text and begin with the vocabulary's word mark.  Scores are posterior probabilities under equal priors.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is everything when there is no training
 text.  Rows are independent (repeated rows, null ids and further columns change nothing); ties go to the first language
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.bpe import vocabulary
 from pointweave.llm.text import doc_texts, slices
+from pointweave.plans.lineage import cut, drop
 
 PIECES = "piece_bpe_32k.model"
 #: A vocabulary with a longer piece (in characters with the word mark) is refused; all shorter pieces are used.
 LONGEST = 64
 #: Training texts for each language (expected).
 MOST = 3000
-MEMO = 500_000
+#: Distinct chunks (some 200 bytes each) that a worker remembers.
+MEMO = 200_000
 FOLDS, FOLD = 3, 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -74,11 +76,12 @@ def letter_words(chunk: str) -> list[str]:
     return [_MARK + w for w in _LETTERS.findall(chunk)]
 
 
-#: Characters of a run of letters that are scored at once; longer runs are scored in parts.
-PART = 200
+#: Words of up to so many characters advance together; longer ones, which are rare, one by one.
+SHORT = 64
 #: Words that advance together.
 TOGETHER = 20_000
 
+
 class Tree:
     """The prefix tree of the pieces as arrays: all words take a step from state to state at once.
 
@@ -119,9 +122,9 @@ def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarr
     """Log-likelihoods, one row for each word and one column for each language; ``p`` has a row for each piece."""
     out = np.zeros((len(words), p.shape[1]))
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    short = [k for k in order if len(words[k]) <= PART]
-    for k in order[len(short) :]:  # rare: a run of letters of hundreds of characters
-        out[k] = forward([words[k][i : i + PART] for i in range(0, len(words[k]), PART)], pieces, p).sum(0)
+    short = [k for k in order if len(words[k]) <= SHORT]
+    for k in order[len(short) :]:
+        out[k] = forward_long(words[k], pieces, p)
     known = tree(pieces)
     most = known.longest
     for begin in range(0, len(short), TOGETHER):
@@ -157,10 +160,32 @@ def forward(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarr
     return out
 
 
+def forward_long(word: str, pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of one word of any length, a row with a column for each language; in memory bounded by the longest piece."""
+    n, get, most = len(word), pieces.get, tree(pieces).longest
+    sums = np.zeros((most + 1, p.shape[1]))  # of the place at hand and the ``most`` places after it
+    sums[0] = 1.0
+    log_scale = np.zeros(p.shape[1])
+    for i in range(n):
+        if i % 16 == 15:  # keep the sums in range, each language's by itself
+            top = sums.max(0)
+            sums /= top
+            log_scale += np.log(top)
+        here = sums[i % (most + 1)].copy()
+        sums[i % (most + 1)] = 0.0
+        for j in range(i + 1, min(n, i + most) + 1):
+            k = get(word[i:j], 0)
+            if k or j == i + 1:  # one character may be no piece
+                sums[j % (most + 1)] += here * p[k]
+    return np.log(np.maximum(sums[n % (most + 1)], 1e-300)) + log_scale
+
+
 def expected_counts(word: str, pieces: dict[str, int], p: np.ndarray) -> list[tuple[int, float]]:
     """Posterior piece counts of a word over all segmentations, under one language's probabilities."""
     a = arcs(word, pieces)
     n = len(word)
+    if n > SHORT:  # products of so many probabilities leave the range of a float
+        return _expected_long(a, n, p)
     alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
     alpha[0] = beta[n] = 1.0
     for i, j, k in a:
@@ -170,6 +195,18 @@ def expected_counts(word: str, pieces: dict[str, int], p: np.ndarray) -> list[tu
     return [(k, alpha[i] * p[k] * beta[j] / alpha[n]) for i, j, k in a] if alpha[n] > 0 else []
 
 
+def _expected_long(a: list[tuple[int, int, int]], n: int, p: np.ndarray) -> list[tuple[int, float]]:
+    """``expected_counts`` in logarithms."""
+    log_p = np.log(p)
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for i, j, k in a:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[k])
+    for i, j, k in reversed(a):
+        beta[i] = np.logaddexp(beta[i], log_p[k] + beta[j])
+    return [(k, float(np.exp(alpha[i] + log_p[k] + beta[j] - alpha[n]))) for i, j, k in a]
+
+
 def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == FOLD, F.lit(False))
 
@@ -182,7 +219,7 @@ def train(docs: DataFrame, name: str = PIECES, most: int = MOST) -> tuple[list[s
     if not languages:
         return [], np.zeros((1, 0))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1_000_000, int(1_000_000 * most / sizes[lang]) + 1))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    sample = cut(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text"), "training-texts")
     size = max(_pieces(name).values()) + 1
 
     def gather(model: dict[str, np.ndarray] | None):
@@ -192,7 +229,7 @@ def train(docs: DataFrame, name: str = PIECES, most: int = MOST) -> tuple[list[s
             for b in slices(batches):
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     for w in letter_words(text.lower()):
-                        words[lang, w[:PART]] = words.get((lang, w[:PART]), 0) + 1
+                        words[lang, w] = words.get((lang, w), 0) + 1
             for (lang, w), n in words.items():
                 into = counts.setdefault(lang, np.zeros(size))
                 if model is None:
@@ -211,7 +248,8 @@ def train(docs: DataFrame, name: str = PIECES, most: int = MOST) -> tuple[list[s
             out[lang][part["piece"].to_numpy()] += part["n"].to_numpy()
         return {lang: c / c.sum() for lang, c in out.items()}
 
-    model = gather({lang: np.asarray(v) for lang, v in gather(None).items()})
+    model = gather(gather(None))
+    drop(sample)
     return languages, np.stack([model[lang] for lang in languages], axis=1)
 
 
@@ -221,7 +259,6 @@ class Scorer:
     def __init__(self, languages: list[str], p: np.ndarray, pieces: dict[str, int]):
         self.languages, self.p, self.pieces = languages, p, pieces
         self.place: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
         self.table = np.zeros((1024, len(languages)))
         self.letters = np.zeros(1024, bool)
 
@@ -231,12 +268,12 @@ class Scorer:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         found = [letter_words(c) for c in chunks]
-        flat = list({w for ws in found for w in ws}.difference(self.words))
-        self.words.update(zip(flat, forward(flat, self.pieces, self.p).astype(np.float32), strict=True))
+        flat = list({w for ws in found for w in ws})
+        scored = dict(zip(flat, forward(flat, self.pieces, self.p), strict=True))
         for k, (c, ws) in enumerate(zip(chunks, found, strict=True)):
             self.place[c] = start + k
             self.letters[start + k] = bool(ws)
-            self.table[start + k] = self.words[ws[0]] if len(ws) == 1 else sum(self.words[w].astype(float) for w in ws)
+            self.table[start + k] = scored[ws[0]] if len(ws) == 1 else sum(scored[w] for w in ws)
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
@@ -244,7 +281,6 @@ class Scorer:
         split = [t.lower().split() for t in texts]
         if len(self.place) > MEMO:
             self.place.clear()
-            self.words.clear()
         new = list(set().union(*split).difference(self.place))
         if new:
             self._add(new)
