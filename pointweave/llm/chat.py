@@ -7,57 +7,53 @@ Fingerprints are aggregated before any join, so a first turn that a third of all
 Texts are shuffled once, for rendering; fingerprints come from hashes of the turns.
 
 Defined results: a row without ``conv_id`` belongs to no conversation and is left out.  Turns are ordered by
-(turn, role, hash of the text), nulls first; fully repeated rows count once.  A null role renders as ``unknown``, null
+(turn, role, MD5 of the text), nulls first; fully repeated rows count once.  A null role renders as ``unknown``, null
 text as empty.  A text's own markers are broken up, so that it can't open or close a turn.  An empty table gives an
 empty result; columns other than conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The order of turns; nulls come first.
+ORDER = ("turn", "role", "digest")
 OPEN, CLOSE, BROKEN = "<|", "<|end|>", "< |"
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    return df.withColumns({"h1": F.xxhash64(F.lit(1), "role", "text"), "h2": F.xxhash64(F.lit(2), "text", "role")})
-
-
-def _rolling(turns: Column) -> Column:
-    """``array<struct<a, b>>``: the fingerprint of every prefix."""
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        new = F.struct(F.xxhash64(last["a"], t["h1"], t["h2"]).alias("a"), F.xxhash64(last["b"], t["h2"], t["h1"]).alias("b"))
-        return F.concat(done, F.array(new))
-
-    return F.aggregate(turns, empty, step)
+    return df.withColumn("digest", F.md5(F.col("text").cast("binary")))
 
 
 def fingerprints(conversations: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, prefixes`` from turn hashes only."""
-    rows = _turns(conversations).select("conv_id", F.struct("turn", "role", "h1", "h2").alias("t"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("ts")).select("conv_id", F.size("ts").cast("long").alias("n_turns"), _rolling(F.col("ts")).alias("prefixes"))
+    """``conv_id, k, n_turns, a, b``: the 128-bit fingerprint of every prefix of k turns, from digests of the turns only.
+
+    A prefix's fingerprint is the exclusive or of its turns' hashes, each salted with the turn's place: one running window
+    over a conversation's turns, so a long conversation costs what its turns do.
+    """
+    rows = _turns(conversations).select("conv_id", "turn", "role", "digest").distinct()
+    order = Window.partitionBy("conv_id").orderBy(*ORDER)
+    rows = rows.withColumns({"k": F.row_number().over(order).cast("long"), "n_turns": F.count("*").over(Window.partitionBy("conv_id"))})
+    salted = {c: F.xxhash64(F.lit(salt), "k", "role", "digest") for c, salt in (("a", 1), ("b", 2))}
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns(salted).select("conv_id", "k", "n_turns", *[F.bit_xor(c).over(so_far).alias(c) for c in "ab"])
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies`` of the conversations that are a prefix of no longer one, one for each content."""
     found = fingerprints(conversations)
-    last = F.element_at("prefixes", -1)
-    whole = found.groupBy("n_turns", last["a"].alias("a"), last["b"].alias("b")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    proper = found.select(F.posexplode(F.slice("prefixes", F.lit(1), F.greatest(F.col("n_turns").cast("int") - 1, F.lit(0)))).alias("k", "p"))
-    inner = proper.select((F.col("k") + 1).cast("long").alias("n_turns"), F.col("p.a").alias("a"), F.col("p.b").alias("b")).groupBy("n_turns", "a", "b").agg(F.count("*").alias("_n")).drop("_n")
+    whole = found.where("k = n_turns").groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = found.where("k < n_turns").select(F.col("k").alias("n_turns"), "a", "b").distinct()
     return whole.join(inner, ["n_turns", "a", "b"], "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
 def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
     """Adds ``rendered`` to the kept conversations."""
     chosen = _turns(conversations).join(kept.select("conv_id"), "conv_id", "left_semi")
-    ts = chosen.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "h1", "h2", "text"))).alias("ts"))
+    ts = chosen.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct(*ORDER, "text"))).alias("ts"))
     safe = lambda c: F.replace(c, F.lit(OPEN), F.lit(BROKEN))
     turn = lambda t: F.concat(F.lit(OPEN), safe(t["role"]), F.lit("|>\n"), safe(t["text"]), F.lit("\n"), F.lit(CLOSE))
     return ts.select("conv_id", F.array_join(F.transform("ts", turn), "\n").alias("rendered")).join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
@@ -69,7 +65,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role) AS ts FROM t GROUP BY conv_id),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, md5(text)) AS ts FROM t GROUP BY conv_id),
 w AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM l GROUP BY ts),
 p AS (SELECT DISTINCT ts[1:k.k] AS ts FROM l, LATERAL (SELECT unnest(range(1, len(ts))) AS k) AS k)
 SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, n_copies,
