@@ -4,9 +4,10 @@ A 100-byte string is looked up by its *anchor*: the place, among its 69 32-byte
 hash.  The anchor depends on the string alone, so equal strings have equal anchors, and neighbouring strings mostly share
 one: about one place in 35 is an anchor.
 
-1. Anchors are dealt by their hash and sorted.  An anchor whose whole surroundings (all strings that use it) also occur
-   earlier settles at once; an anchor that occurs once is dropped.  Both need only the row before, so a passage that a
-   third of all documents share is streamed, not gathered.
+1. An anchor whose whole surroundings (all strings that use it) also occur earlier is settled by the equality of two 64-bit
+   hashes: first among the texts that a task has at hand, before any exchange, so a passage that a third of all documents
+   share leaves each task as a few rows; then among all anchors, dealt by their hash and sorted.  An anchor that occurs once
+   is dropped.  Both need only the row before.
 2. What is left are the ends of repeated passages.  Their surroundings are fetched from the texts; each task sorts the
    suffixes that start at its anchors and sends them as front-coded runs; runs are merged with a loser tree over known
    common prefixes.  The common-prefix lengths of the sorted suffixes, and of the sorted reversed left sides, tell which
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +97,27 @@ def _once(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(repeated, on, "left_anti").union(texts.join(repeated, on, "left_semi").dropDuplicates(KEY))
 
 
-def _anchor_table(texts: DataFrame) -> DataFrame:
-    """``hash, around, shape, doc_id, version, place``; shape: 256 * (place - first start) + (last - first start)."""
+ANCHOR = "hash long, around long, shape int, doc_id long, version int, place int, again boolean"
+
+
+def _repeats_here(h: np.ndarray, around: np.ndarray, shape: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Flags rows whose anchor and surroundings come earlier (by ``order``) among the rows at hand."""
+    by_hash = np.argsort(h, kind="stable")
+    equal = h[by_hash][1:] == h[by_hash][:-1]
+    some = by_hash[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])] if len(h) else by_hash
+    some = some[np.lexsort((order[some], shape[some], around[some], h[some]))]
+    out = np.zeros(len(h), bool)
+    if len(some):
+        out[some[1:]] = (h[some[1:]] == h[some[:-1]]) & (around[some[1:]] == around[some[:-1]]) & (shape[some[1:]] == shape[some[:-1]])
+    return out
+
+
+def _anchor_table(texts: DataFrame, combine: bool = True) -> DataFrame:
+    """Anchors of all texts; shape: 256 * (place - first start) + (last - first start).
+
+    ``again``: the same surroundings come earlier among the texts at hand, so the row is settled before any exchange.  A
+    passage in a third of all texts leaves each task as a few rows that are not.
+    """
 
     def run(batches):
         for b in slices(batches, 512):
@@ -108,26 +129,40 @@ def _anchor_table(texts: DataFrame) -> DataFrame:
             if sum(counts):
                 h, around, shape, place = (np.concatenate(c) for c in zip(*columns, strict=True))
                 rows = np.repeat(np.arange(b.num_rows), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(around), pa.array(shape), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(place)], names=["hash", "around", "shape", "doc_id", "version", "place"])
+                again = np.zeros(len(h), bool)
+                if combine:
+                    doc = b.column(0)
+                    rank = np.empty(b.num_rows, np.int64)
+                    rank[np.lexsort((b.column(1).to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)))] = np.arange(b.num_rows)
+                    again = _repeats_here(h, around, shape, rank[rows] << 32 | place)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(around), pa.array(shape), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(place), pa.array(again)], names=["hash", "around", "shape", "doc_id", "version", "place", "again"])
 
-    return texts.select("doc_id", "version", "text").mapInArrow(run, "hash long, around long, shape int, doc_id long, version int, place int")
+    return texts.select("doc_id", "version", "text").mapInArrow(run, ANCHOR)
 
 
-def _settle(table: DataFrame) -> DataFrame:
-    """Anchors that recur: ``open`` is False where the same surroundings came earlier, True where texts must be compared."""
-    dealt = table.repartition("hash").sortWithinPartitions("hash", "around", "shape", "doc_id", "version", "place")
+def _settle(table: DataFrame, equal_by_hash: bool = True) -> DataFrame:
+    """Anchors that recur: ``open`` is False where the same surroundings came earlier, True where texts must be compared.
+
+    Rows that are settled already only pass through, in any task.
+    """
+    deal = F.when(F.col("again"), F.xxhash64("doc_id", "place")).otherwise(F.col("hash"))
+    dealt = table.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("again", "hash", "around", "shape", "doc_id", "version", "place")
 
     def run(batches):
         held: pa.RecordBatch | None = None  # the last first-of-its-kind row, whose fate the next row decides
         held_open = False
         before: tuple | None = None
         for b in batches:
+            known = np.flatnonzero(b.column(6).to_numpy(zero_copy_only=False))
+            if len(known):
+                yield _with_open(b.take(pa.array(known)), np.zeros(len(known), bool))
+                b = b.slice(0, b.num_rows - len(known))  # they come last
             if not b.num_rows:
                 continue
             h, around, shape = (b.column(k).to_numpy() for k in range(3))
             ph, pr, ps = (np.concatenate([[before[k] if before else x[0]], x[:-1]]) for k, x in enumerate((h, around, shape)))
             same_hash = h == ph
-            same = same_hash & (around == pr) & (shape == ps)
+            same = same_hash & (around == pr) & (shape == ps) & equal_by_hash
             if before is None:
                 same_hash[0] = same[0] = False
             before = (h[-1], around[-1], shape[-1])
@@ -273,12 +308,17 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").mapInArrow(run, "doc_id long, version int, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keyed texts, their rows, and for each (id, version) with removals ``spans array<struct<b, e>>`` (bytes, end excluded)."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_by_hash: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keyed texts, their rows, and for each (id, version) with removals ``spans array<struct<b, e>>`` (bytes, end excluded).
+
+    With ``equal_by_hash`` False every recurring anchor goes through the sort, also one whose surroundings are all equal:
+    the same result without a decision by hashes of surroundings, at several times the cost and with no bound on the
+    records of one anchor in a task.
+    """
     texts, rows = _keyed(docs, doc_id, text)
     parts = partitions(docs.sparkSession)
     once = _once(texts, rows)
-    found = cut(_settle(_anchor_table(once)), "anchors")
+    found = cut(_settle(_anchor_table(once, equal_by_hash), equal_by_hash), "anchors")
     settled = found.where("not open").select(*KEY, (F.col("place") - F.floor(F.col("shape") / 256)).cast("long").alias("lo"), F.col("shape").alias("s"))
     settled = settled.select(*KEY, "lo", (F.col("lo") + F.col("s") % 256).alias("hi"))
     others = cut(_merged(_runs(once, found.where("open"), parts), parts), "strings")
@@ -320,9 +360,9 @@ def kept_bytes(text: str, removed: list[dict] | None) -> tuple[bytes, bytes]:
     return raw, b"".join([*out, raw[at:]])
 
 
-def dedup_repeats(docs: DataFrame) -> DataFrame:
+def dedup_repeats(docs: DataFrame, equal_by_hash: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
-    texts, rows, spans_of = repeated_spans(docs)
+    texts, rows, spans_of = repeated_spans(docs, equal_by_hash=equal_by_hash)
     one = _with_spans(_once(texts, rows), spans_of)
     repeated = rows.where("copies > 1").select(F.col("doc_id").alias("_i"), F.col("version").alias("_w"), "copies")
     if repeated.isEmpty():
@@ -346,15 +386,15 @@ def dedup_repeats(docs: DataFrame) -> DataFrame:
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with repeated passages cut out of ``text`` and ``n_chars`` set anew where there is one.
+    """``docs`` (all columns, whatever their names) with repeated passages cut out of ``text`` and ``n_chars`` set anew where there is one.
 
     A character of which only some bytes are removed goes as a whole; rows of which nothing is left are dropped, as are
     further rows with the same id and text (of 100 bytes or more).
     """
-    columns = docs.columns
     texts, rows, spans_of = repeated_spans(docs)
-    shape = {f.name: f for f in docs.schema.fields}
-    hashed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_x": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    # the row goes as one struct, so that its columns may have any name
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    hashed = hashed.withColumns({"_i": F.col("_doc.doc_id").cast("long"), "_x": F.xxhash64(F.coalesce(F.col("_doc.text").cast("string"), F.lit("")))})
     total = spans_of.agg(F.sum(F.size("spans") + 1).alias("n")).first()["n"] or 0
     named = rows.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("h1").alias("_h"), "copies")
     removed = spans_of.withColumnsRenamed({"doc_id": "_sd", "version": "_sv"})
@@ -362,27 +402,25 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     joined = hashed.join(F.broadcast(marked) if total <= BROADCAST_ROWS else marked, hashed._i.eqNullSafe(marked._d) & (hashed._x == marked._h), "left")
     several = joined.where(F.coalesce("copies", F.lit(1)) > 1)
     if not several.isEmpty():
-        long = F.octet_length("text") >= LENGTH
-        joined = joined.where(F.coalesce("copies", F.lit(1)) == 1).union(several.where(long).dropDuplicates(["_i", "_x"])).union(several.where(~long | F.col("text").isNull()))
-    at, n_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+        long = F.octet_length(F.col("_doc.text").cast("string")) >= LENGTH
+        joined = joined.where(F.coalesce("copies", F.lit(1)) == 1).union(several.where(long).dropDuplicates(["_i", "_x"])).union(several.where(~long | F.col("_doc.text").isNull()))
+    at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in slices(batches):
-            texts_out, sizes, keep = [], [], []
-            for t, s in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
+            row = b.column(0)
+            out = [row.field(k) for k in range(row.type.num_fields)]
+            spans = b.column(1).to_pylist()
+            texts_out, keep = [], []
+            for t, s in zip(out[at].to_pylist(), spans, strict=True):
                 if s:
                     t = kept_bytes(t, s)[1].decode("utf-8", "ignore")
                 texts_out.append(t)
-                sizes.append(None if t is None else len(t))
                 keep.append(not s or bool(t))
-            out = list(b.columns[: len(columns)])
-            out[at] = pa.array(texts_out, b.schema.field(at).type)
+            out[at] = pa.array(texts_out, out[at].type)
             if n_at is not None:
-                changed = pa.array([bool(s) for s in b.column(len(columns)).to_pylist()], pa.bool_())
-                import pyarrow.compute as pc
-
-                out[n_at] = pc.if_else(changed, pa.array(sizes, out[n_at].type), out[n_at])
-            yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
+                sizes = pa.array([len(t) if s else None for t, s in zip(texts_out, spans, strict=True)], out[n_at].type)
+                out[n_at] = pc.if_else(pa.array([bool(s) for s in spans], pa.bool_()), sizes, out[n_at])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(out, fields=list(row.type))], names=["_doc"]).filter(pa.array(keep, pa.bool_()))
 
-    schema = docs.select(*[F.col(c) for c in shape]).schema
-    return joined.select(*columns, "spans").mapInArrow(run, schema)
+    return joined.select("_doc", "spans").mapInArrow(run, hashed.select("_doc").schema).select("_doc.*")
