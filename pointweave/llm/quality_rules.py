@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pointweave.llm.text import SPACE
 
 BUCKETS = 1 << 14
-#: Trusted rows used, at most (expected): a larger set is thinned by a hash of its ids, which also bounds the broadcast.
-TRUSTED = 50_000
+#: Trusted ids that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Fixed-point steps in one nat.
 STEPS = 1 << 20
 #: Mean log ratio (nats for each n-gram) under which a text is not kept.
@@ -40,23 +40,20 @@ def _word_hashes(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _window(i: Column, size: int) -> Column:
-    """A hash of the ``size`` words from place ``i`` on (fewer at the end of the text)."""
+    """A hash of the ``size`` words from place ``i`` on."""
     return F.xxhash64(*[F.get("_h", i + k) for k in range(size)])
 
 
 def _buckets(buckets: int) -> tuple[Column, Column]:
     one = F.transform("_h", lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.transform("_h", lambda h, i: F.pmod(_window(i, 2), F.lit(buckets)).cast("int"))
+    pairs = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0)))  # a pair begins at each word but the last
+    two = F.transform(pairs, lambda h, i: F.pmod(_window(i, 2), F.lit(buckets)).cast("int"))
     return one, two
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of rows labelled as good, thinned to about ``most`` by a hash of the id (one row for each id)."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    n = good.count()
-    if n > most:
-        good = good.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return good
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all rows labelled as good (one row for each id)."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[int]:
@@ -66,7 +63,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text
     corpus's, so that a bucket with little evidence, as a few unlabelled copies of a text would make in a small corpus,
     says little.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col(text).alias("text")).join(F.broadcast(trusted), F.col("_d") == F.col("_id"), "left")
+    few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col(text).alias("text")).join(F.broadcast(trusted) if few else trusted, F.col("_d") == F.col("_id"), "left")
     one, two = _buckets(buckets)
     grams = _word_hashes(marked, "text").select(F.col("_id").isNotNull().alias("good"), F.explode(F.concat(one, two)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("good").alias("g"))
@@ -102,6 +100,11 @@ def base_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def _grams() -> Column:
+    """The number of single words and pairs of a text with words."""
+    return 2 * F.col("n_words") - 1
+
+
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, text: str = "text") -> DataFrame:
     """All columns of ``docs`` under ``_doc`` with the counts, ``score_steps`` (fixed point), ``base_failed`` and ``kept``."""
     ratios = log_ratios(docs, trusted, buckets, text)
@@ -113,7 +116,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
         total = total + F.aggregate(part, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
     judged = judged.withColumn("score_steps", total).drop("_t", "_w", "_h")
     # integers on both sides: mean >= threshold
-    enough = F.col("score_steps") >= F.lit(round(threshold * STEPS)) * 2 * F.col("n_words")
+    enough = F.col("score_steps") >= F.lit(round(threshold * STEPS)) * _grams()
     return judged.withColumn("kept", ~F.col("base_failed") & enough)
 
 
@@ -129,5 +132,5 @@ def keep_passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHO
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = judge(docs, trusted_ids(labels), threshold)
-    mean = F.when(F.col("n_words") > 0, F.col("score_steps") / (F.lit(2.0 * STEPS) * F.col("n_words"))).otherwise(F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, F.col("score_steps") / (F.lit(float(STEPS)) * _grams())).otherwise(F.lit(0.0))
     return found.select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", mean.alias("mean_log_ratio"))
