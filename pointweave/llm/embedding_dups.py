@@ -428,6 +428,6 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     parts = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = rows.join(links, "node", "left").join(parts, "node", "left")
     placed = placed.select("row", "vec_id", F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node", F.col("row")).alias("part"))
-    least = placed.groupBy("part").agg(F.min("vec_id").alias("component_id"))
+    least = cut(placed.groupBy("part").agg(F.min("vec_id").alias("component_id")), "least")  # apart, so that a large component's rows may be split in the join
     out = placed.join(least, "part")
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made, nodes, parts = components_of(docs)
     placed = made.select("row", "doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left")
     placed = placed.join(parts, "node", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "node", F.col("row")).alias("part"))
-    least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    least = cut(placed.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least")  # apart, so that a large component's rows may be split in the join
     out = placed.join(least, "part")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
@@ -300,6 +300,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     placed = placed.select("row", "doc_id", "text_hash", F.coalesce("component", "node", F.col("row")).alias("part"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "text_hash")
     chosen = placed.groupBy("part").agg(F.min(order).alias("k")).select("part", F.col("k.doc_id").alias("kd"), F.col("k.text_hash").alias("kh"))
+    chosen = cut(chosen, "chosen")  # apart, so that a large component's rows may be split in the join
     groups = placed.join(chosen, "part")
     same = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("text_hash") == F.col("kh"))
     losers = cut(groups.where(~same).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "losers")
