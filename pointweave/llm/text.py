@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -40,7 +41,42 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into short ones, so that what a step holds beside the batch stays small."""
+    """Cuts Arrow batches into short ones, so that what a step holds beside the batch stays small.
+
+    At the end what is free goes back to the system: a worker process stays for further tasks.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+class Memo:
+    """What a worker remembers, in about ``most`` bytes: a young and an old half.
+
+    When the young half is full it becomes the old one; what is asked for again moves to the young half, so frequent keys
+    stay.  ``young`` is a plain dictionary for fast reading; between two calls of ``turn`` nothing in it goes away.
+    """
+
+    def __init__(self, most: int, each: int = 200):
+        """``each``: bytes counted for an entry's objects and places, beside its key's and its value's lengths."""
+        self.most, self.each, self.held = most, each, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if 2 * self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def put(self, key: str, value) -> None:
+        self.young[key] = value
+        self.held += len(key) + len(value) + self.each
+
+    def again(self, key: str):
+        """The value of a key that is not in the young half, or None."""
+        value = self.old.pop(key, None)
+        if value is not None:
+            self.put(key, value)
+        return value
