@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from pointweave.plans.lineage import cut, drop
 
+#: Edges (16 bytes each) in a file of the tables between steps.
+ROWS = 200_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v."""
@@ -40,12 +43,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     plain = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("p"), F.col(b).isNotNull().alias("q"))
     current = cut(plain.where("p and q and u > v").select("u", "v").distinct(), "cc")
+    files = max(1, -(-current.count() // ROWS))  # a step never makes more edges: no need for many small files
     before = None
     for _ in range(max_rounds):
         if _settled(current):
             break
         large = _stars(current, True)
-        after = cut(_stars(large, False), "cc")
+        after = cut(_stars(large, False).coalesce(files), "cc")
         drop(before)
         drop(current)
         current = after
