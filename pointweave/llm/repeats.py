@@ -4,14 +4,14 @@ A 100-byte string is looked up by its *anchor*: the place, among its 69 32-byte
 hash.  The anchor depends on the string alone, so equal strings have equal anchors, and neighbouring strings mostly share
 one: about one place in 35 is an anchor.
 
-1. An anchor whose whole surroundings (all strings that use it) also occur earlier is settled by the equality of two 64-bit
-   hashes: first among the texts that a task has at hand, before any exchange, so a passage that a third of all documents
-   share leaves each task as a few rows; then among all anchors, dealt by their hash and sorted.  An anchor that occurs once
-   is dropped.  Both need only the row before.
-2. What is left are the ends of repeated passages.  Their surroundings are fetched from the texts; each task sorts the
-   suffixes that start at its anchors and sends them as front-coded runs; runs are merged with a loser tree over known
-   common prefixes.  The common-prefix lengths of the sorted suffixes, and of the sorted reversed left sides, tell which
-   strings are equal, and so which are not the first.
+1. Among the texts that a task has at hand (512), anchors whose whole surroundings (all strings that use them) are equal, by
+   two 64-bit hashes, are combined before any exchange: all but the first are settled.  So a passage that a third of all
+   documents share leaves each task as a few rows.  What is left is dealt by the anchor's hash; an anchor that occurs once is
+   dropped, which needs only the row before.
+2. The surroundings of all other anchors are fetched from the texts; each task sorts the suffixes that start at its anchors
+   and sends them as front-coded runs; runs are merged with a loser tree over known common prefixes.  The common-prefix
+   lengths of the sorted suffixes, and of the sorted reversed left sides, tell which strings are equal, and so which are not
+   the first.  One task holds the records of an anchor that are left (some 600 bytes each).
 3. Flagged strings become byte spans for each document.
 
 Order is by (doc_id, place in the text); nulls come first.  Defined results: null text counts as empty.  Of rows that
@@ -112,7 +112,7 @@ def _repeats_here(h: np.ndarray, around: np.ndarray, shape: np.ndarray, order: n
     return out
 
 
-def _anchor_table(texts: DataFrame, combine: bool = True) -> DataFrame:
+def _anchor_table(texts: DataFrame) -> DataFrame:
     """Anchors of all texts; shape: 256 * (place - first start) + (last - first start).
 
     ``again``: the same surroundings come earlier among the texts at hand, so the row is settled before any exchange.  A
@@ -129,19 +129,17 @@ def _anchor_table(texts: DataFrame, combine: bool = True) -> DataFrame:
             if sum(counts):
                 h, around, shape, place = (np.concatenate(c) for c in zip(*columns, strict=True))
                 rows = np.repeat(np.arange(b.num_rows), counts)
-                again = np.zeros(len(h), bool)
-                if combine:
-                    doc = b.column(0)
-                    rank = np.empty(b.num_rows, np.int64)
-                    rank[np.lexsort((b.column(1).to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)))] = np.arange(b.num_rows)
-                    again = _repeats_here(h, around, shape, rank[rows] << 32 | place)
+                doc = b.column(0)
+                rank = np.empty(b.num_rows, np.int64)
+                rank[np.lexsort((b.column(1).to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)))] = np.arange(b.num_rows)
+                again = _repeats_here(h, around, shape, rank[rows] << 32 | place)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(around), pa.array(shape), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(place), pa.array(again)], names=["hash", "around", "shape", "doc_id", "version", "place", "again"])
 
     return texts.select("doc_id", "version", "text").mapInArrow(run, ANCHOR)
 
 
-def _settle(table: DataFrame, equal_by_hash: bool = True) -> DataFrame:
-    """Anchors that recur: ``open`` is False where the same surroundings came earlier, True where texts must be compared.
+def _settle(table: DataFrame, equal_by_hash: bool = False) -> DataFrame:
+    """Anchors that recur: ``open`` is True where texts must be compared, False where the same surroundings came earlier.
 
     Rows that are settled already only pass through, in any task.
     """
@@ -308,17 +306,16 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").mapInArrow(run, "doc_id long, version int, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_by_hash: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_by_hash: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keyed texts, their rows, and for each (id, version) with removals ``spans array<struct<b, e>>`` (bytes, end excluded).
 
-    With ``equal_by_hash`` False every recurring anchor goes through the sort, also one whose surroundings are all equal:
-    the same result without a decision by hashes of surroundings, at several times the cost and with no bound on the
-    records of one anchor in a task.
+    With ``equal_by_hash`` an anchor whose surroundings are equal, by their hash, to earlier ones anywhere in the corpus is
+    settled without the sort.
     """
     texts, rows = _keyed(docs, doc_id, text)
     parts = partitions(docs.sparkSession)
     once = _once(texts, rows)
-    found = cut(_settle(_anchor_table(once, equal_by_hash), equal_by_hash), "anchors")
+    found = cut(_settle(_anchor_table(once), equal_by_hash), "anchors")
     settled = found.where("not open").select(*KEY, (F.col("place") - F.floor(F.col("shape") / 256)).cast("long").alias("lo"), F.col("shape").alias("s"))
     settled = settled.select(*KEY, "lo", (F.col("lo") + F.col("s") % 256).alias("hi"))
     others = cut(_merged(_runs(once, found.where("open"), parts), parts), "strings")
@@ -360,7 +357,7 @@ def kept_bytes(text: str, removed: list[dict] | None) -> tuple[bytes, bytes]:
     return raw, b"".join([*out, raw[at:]])
 
 
-def dedup_repeats(docs: DataFrame, equal_by_hash: bool = True) -> DataFrame:
+def dedup_repeats(docs: DataFrame, equal_by_hash: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
     texts, rows, spans_of = repeated_spans(docs, equal_by_hash=equal_by_hash)
     one = _with_spans(_once(texts, rows), spans_of)
