@@ -189,9 +189,25 @@ def repeat_rows():
     return rows
 
 
-def test_repeats(docs_of):
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 0}, {"RUN": 50, "PART": 20}, {"equal_by_hash": True}])
+def test_repeats(docs_of, monkeypatch, limits):
+    """Also with every join by a shuffle, with short runs, and with equal surroundings settled by their hash anywhere."""
+    by_hash = limits.get("equal_by_hash", False)
+    for name, value in limits.items():
+        if name != "equal_by_hash":
+            monkeypatch.setattr(repeats, name, value)
     rows = repeat_rows()
-    assert sorted(map(tuple, repeats.dedup_repeats(docs_of(rows)).collect()), key=repr) == repeat_brute(rows)
+    assert sorted(map(tuple, repeats.dedup_repeats(docs_of(rows), by_hash).collect()), key=repr) == repeat_brute(rows)
+
+
+def test_rows_settled_before_the_exchange():
+    rng = np.random.default_rng(2)
+    h, around, shape, order = (rng.integers(0, k, 400) for k in (9, 3, 2, 10**6))
+    first = {}
+    for k in np.argsort(order, kind="stable"):
+        first.setdefault((h[k], around[k], shape[k]), k)
+    got = repeats._repeats_here(h, around, shape, order)
+    assert sorted(np.flatnonzero(~got)) == sorted(first.values())
 
 
 def test_repeats_on_edges(docs_of):
@@ -211,6 +227,18 @@ def test_strip_repeats(docs_of):
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=repr) == sorted([(1, long, 150), (2, "head é  tail", 12), (4, None, None), (4, None, None), (5, "short", 5)], key=repr)
 
 
+@pytest.mark.parametrize("broadcast", [None, 0])
+def test_strip_repeats_with_clashing_names(spark, monkeypatch, broadcast):
+    if broadcast is not None:
+        monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
+    long = "".join(hashlib.sha512(c).hexdigest() for c in (b"a", b"b"))[:150]
+    names = ["spans", "_i", "_x", "_d", "_h", "_v", "copies", "_doc", "a.b", "version"]
+    docs = spark.createDataFrame([(k, t, *names) for k, t in [(1, long), (1, long), (2, "head " + long), (3, None), (4, "x")]], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names)}")
+    got = repeats.strip_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, long, *names), (2, "head ", *names), (3, None, *names), (4, "x", *names)], key=repr)
+
+
 def vector_brute(rows):
     fine = [k for k, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, root = {k: 0 for k in range(len(rows))}, list(range(len(rows)))
@@ -325,6 +353,42 @@ def test_chat(spark):
     assert not re.search("Python|Arrow|Pandas", chat.format_chats(df)._jdf.queryExecution().toString())
 
 
+def chats_brute(rows):
+    found = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            found.setdefault(conv, set()).add((turn is not None, turn or 0, role if role is not None else "unknown", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    talks = {c: tuple((role, text) for _, _, role, _, text in sorted(turns)) for c, turns in found.items()}
+    proper = {t[:k] for t in talks.values() for k in range(1, len(t))}
+    safe = lambda x: x.replace("<|", "< |")
+    return sorted((min(c for c in talks if talks[c] == t), len(t), sum(x == t for x in talks.values()), "\n".join(f"<|{safe(r)}|>\n{safe(x)}\n<|end|>" for r, x in t)) for t in set(talks.values()) if t not in proper)
+
+
+def test_chat_against_brute_force(spark):
+    """Snapshots, ties of turn and role in any order of rows, and one conversation of 20,000 turns with a snapshot of half of it."""
+    rng = random.Random(12)
+    rows = []
+    for c in range(60):
+        length = rng.randint(1, 6)
+        rows += [(c, k // 2 if c % 3 else k, rng.choice(["user", "assistant", None]) if c % 5 == 0 else "user", f"t{rng.randint(0, 2)}") for k in range(length)]
+    rows += [(100, k, "user", f"long {k}") for k in range(20_000)] + [(101, k, "user", f"long {k}") for k in range(10_000)]
+    rng.shuffle(rows)
+    got = sorted(map(tuple, chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()))
+    assert got == chats_brute(rows)
+
+
+def test_chat_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(c, t, r, x) for c in range(4) for t in (0, 0, 1) for r in ("a", "b") for x in ("x", f"y{c % 2}", "<|z")] + [(9, None, None, None)]
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    want = con.execute(chat.ORACLE).fetchall()
+    assert sorted(map(tuple, chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def small_folder(spark, tmp_path_factory):
     rng = random.Random(9)
