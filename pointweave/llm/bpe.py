@@ -2,7 +2,7 @@
 
 A text is cut at its special strings, then into pre-tokens by the vocabulary's pattern; no merge crosses a pre-token.
 Within one, candidate merges wait in a priority queue ordered by (rank, position) over a doubly linked list of symbols;
-entries whose symbols have meanwhile changed are skipped when they surface.  Encoded chunks are kept in a bounded memo.
+entries whose symbols have meanwhile changed are skipped when they surface.  Encoded chunks are kept in memos bounded in bytes.
 """
 
 from __future__ import annotations
@@ -10,16 +10,19 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import Counter
 from heapq import heapify, heappop, heappush
 
 import regex
 
+from pointweave.llm.text import Memo
+
 #: The pre-token pattern of the public byte-level vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space before white space or the end: only then may a run of white space reach over a cut before a space.
 _RUNS = re.compile(r" (?:\s|\Z)")
-#: Entries of a memo before it is dropped and begun anew.
-MEMO = 600_000
+#: Bytes that a worker's memo of chunks, and its memo of pre-tokens, may hold.
+MEMO = 32 << 20
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 
@@ -54,8 +57,8 @@ class ByteBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(vocab[a] << _BITS | vocab[b], rank << _BITS | vocab[a + b])
         self._special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._after: dict[str, bytes] = {}  # chunks that follow a space
-        self._at: dict[str, bytes] = {}  # pre-tokens
+        self._after = Memo(MEMO)  # chunks that follow a space
+        self._at = Memo(MEMO)  # pre-tokens
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -98,14 +101,13 @@ class ByteBPE:
 
     def _packed(self, pretokens: list[str]) -> bytes:
         memo, out = self._at, []
-        if len(memo) > MEMO:
-            memo.clear()
+        memo.turn()
         for p in pretokens:
-            ids = memo.get(p)
+            ids = memo.young.get(p) or memo.again(p)
             if ids is None:
                 ids = array("I", self.merge(p.encode())).tobytes()
                 if len(p) < 64:
-                    memo[p] = ids
+                    memo.put(p, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -127,15 +129,16 @@ class ByteBPE:
                 head, *rest = part.split(" ")
                 out.append(self._packed(PRETOKEN.findall(head)))
                 memo = self._after
-                found = list(map(memo.get, rest))
+                memo.turn()
+                found = list(map(memo.young.get, rest))
                 if None in found:
-                    if len(memo) > MEMO:
-                        memo.clear()
                     for k, ids in enumerate(found):
+                        if ids is None:
+                            found[k] = ids = memo.young.get(rest[k]) or memo.again(rest[k])
                         if ids is None:
                             found[k] = ids = self._packed(PRETOKEN.findall(" " + rest[k]))
                             if len(rest[k]) < 64:
-                                memo[rest[k]] = ids
+                                memo.put(rest[k], ids)
                 out.extend(found)
         return b"".join(out)
 
@@ -145,38 +148,35 @@ class ByteBPE:
         return b"".join([strings[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-def pretoken_counts(bpe: ByteBPE, text: str) -> tuple[dict[str, int], int]:
-    """How often each pre-token occurs in a text, and the number of special tokens in it."""
-    counts: dict[str, int] = {}
-    specials = 0
+def chunk_counts(bpe: ByteBPE, text: str) -> tuple[Counter, Counter, int]:
+    """How often each chunk that follows a space occurs in a text, and each pre-token outside such chunks; special tokens."""
+    chunks, others, specials = Counter(), Counter(), 0
     for part, special in bpe.parts(text):
         if special:
             specials += 1
         elif _RUNS.search(part):
-            for p in PRETOKEN.findall(part):
-                counts[p] = counts.get(p, 0) + 1
-        else:
+            others.update(PRETOKEN.findall(part))
+        else:  # every cut before a space is a cut between pre-tokens
             head, *rest = part.split(" ")
-            for p in PRETOKEN.findall(head):
-                counts[p] = counts.get(p, 0) + 1
-            chunks: dict[str, int] = {}
-            for c in rest:
-                chunks[c] = chunks.get(c, 0) + 1
-            memo = _CUTS
-            if len(memo) > MEMO:
-                memo.clear()
-            for c, k in chunks.items():
-                cut = memo.get(c)
-                if cut is None:
-                    cut = tuple(PRETOKEN.findall(" " + c))
-                    if len(c) < 64:
-                        memo[c] = cut
-                for p in cut:
-                    counts[p] = counts.get(p, 0) + k
+            others.update(PRETOKEN.findall(head))
+            chunks.update(rest)
+    return chunks, others, specials
+
+
+def cut_chunk(chunk: str) -> list[str]:
+    """The pre-tokens of a chunk and the space before it."""
+    return PRETOKEN.findall(" " + chunk)
+
+
+def pretoken_counts(bpe: ByteBPE, text: str) -> tuple[Counter, int]:
+    """How often each pre-token occurs in a text, and the number of special tokens in it."""
+    chunks, counts, specials = chunk_counts(bpe, text)
+    for c, k in chunks.items():
+        for p in cut_chunk(c):
+            counts[p] += k
     return counts, specials
 
 
-_CUTS: dict[str, tuple[str, ...]] = {}
 _LOADED: dict[str, ByteBPE] = {}
 
 

@@ -12,19 +12,24 @@ each get their own result; null ids stay null; other columns are ignored; an emp
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.bpe import load, pretoken_counts, vocabulary
+from pointweave.llm.bpe import chunk_counts, cut_chunk, load, vocabulary
 from pointweave.llm.codec import BYTE_VOCABULARY
 from pointweave.llm.text import doc_texts, slices
 from pointweave.plans.lineage import cut
 
-#: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 400_000
-#: Lexicon entries that every task gets; about 5 MB however large the corpus is.
+#: Distinct chunks, and distinct pre-tokens, that a task holds before it hands them on (some 150 bytes each).
+HELD = 200_000
+#: Lexicon entries that every worker gets: a dictionary of some 40 MB however large the corpus is.
 HOT = 1 << 18
+#: Chunks of which a worker remembers the number of pieces.
+MEMO = 200_000
 
 
 def lexicon(texts: DataFrame, name: str) -> DataFrame:
@@ -32,20 +37,24 @@ def lexicon(texts: DataFrame, name: str) -> DataFrame:
 
     def count(batches):
         bpe = load(vocabulary(name))
-        held: dict[str, int] = {}
+        chunks, held = Counter(), Counter()
 
         def out():
-            for start in range(0, len(held), 50_000):
-                if start == 0:
-                    keys, values = list(held), list(held.values())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[start : start + 50_000], pa.string()), pa.array(values[start : start + 50_000], pa.int64())], names=["pretoken", "freq"])
+            for c, k in chunks.items():
+                for p in cut_chunk(c):
+                    held[p] += k
+            chunks.clear()
+            keys, values = list(held), list(held.values())
             held.clear()
+            for start in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[start : start + 50_000], pa.string()), pa.array(values[start : start + 50_000], pa.int64())], names=["pretoken", "freq"])
 
         for b in slices(batches):
             for t in b.column(1).to_pylist():
-                for p, k in pretoken_counts(bpe, t)[0].items():
-                    held[p] = held.get(p, 0) + k
-            if len(held) > HELD:
+                found, others, _ = chunk_counts(bpe, t)
+                chunks.update(found)
+                held.update(others)
+            if len(chunks) > HELD or len(held) > HELD:
                 yield from out()
         yield from out()
 
@@ -78,17 +87,32 @@ def count_tokens(docs: DataFrame, name: str = BYTE_VOCABULARY, limit: int = 512,
     texts = doc_texts(docs, doc_id, text)
     known = lexicon(texts, name)
     top = known.where(F.col("freq") >= _least_frequency(known, hot)).select("pretoken", "pieces").toArrow()
-    shared = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
+    shared, run = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist())), uuid.uuid4().hex
 
     def split(batches):
         bpe = load(vocabulary(name))
-        pieces = _hot_table(shared)
+        pieces, known_chunks = _hot_table(run, shared)
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("pretoken", pa.binary()), ("tokens", pa.int64())])
         for b in slices(batches):
             rows, ids, sizes, keys, counts = [], [], [], [], []
+            if len(known_chunks) > MEMO:
+                known_chunks.clear()
             for row, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found, total = pretoken_counts(bpe, t)
-                for p, k in found.items():
+                chunks, others, total = chunk_counts(bpe, t)
+                for c, k in chunks.items():
+                    n = known_chunks.get(c)
+                    if n is None:
+                        cut_at = cut_chunk(c)
+                        each = [pieces.get(p) for p in cut_at]
+                        if None in each:  # counted pre-token by pre-token
+                            for p in cut_at:
+                                others[p] += k
+                            continue
+                        n = sum(each)
+                        if len(c) < 64:
+                            known_chunks[c] = n
+                    total += n * k
+                for p, k in others.items():
                     n = pieces.get(p)
                     if n is None:
                         rows.append(row)
@@ -113,13 +137,12 @@ def count_tokens(docs: DataFrame, name: str = BYTE_VOCABULARY, limit: int = 512,
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-_TABLES: dict[int, dict[str, int]] = {}
+_TABLES: dict[str, tuple[dict[str, int], dict[str, int]]] = {}
 
 
-def _hot_table(shared) -> dict[str, int]:
-    """The dictionary of a broadcast, built once for each worker."""
-    key = id(shared.value[0])
-    if key not in _TABLES:
+def _hot_table(name: str, shared) -> tuple[dict[str, int], dict[str, int]]:
+    """The dictionary of a broadcast, built once for each worker, and the chunks that it has settled."""
+    if name not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = dict(zip(*shared.value, strict=True))
-    return _TABLES[key]
+        _TABLES[name] = dict(zip(*shared.value, strict=True)), {}
+    return _TABLES[name]
