@@ -45,6 +45,25 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == ids(WORDS, t), t
 
 
+def test_memos_are_bounded(monkeypatch):
+    """Small memos change nothing in the ids, hold what they may, and keep what is asked for."""
+    from pointweave.llm import bpe as B
+    from pointweave.llm import packing as P
+
+    for module in (B, P):
+        monkeypatch.setattr(module, "MEMO", 4000)
+    byte, word = B.ByteBPE(vocabulary("byte_bpe_50k.json")), WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = [f"the word{k} is Not{k % 7}, so x{k}x" for k in range(300)]
+    for t in texts:
+        assert np.frombuffer(byte.encode(t), "<u4").tolist() == ids(BYTES, t)
+    for start in range(0, 300, 10):
+        for t, got in zip(texts[start : start + 10], word.encode_batch(texts[start : start + 10]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids(WORDS, t)
+    for memo in (byte._after, byte._at):
+        assert len(memo.young) + len(memo.old) <= 4000 // 200 + 4
+    assert "the" in word.memo.young
+
+
 def test_round_trip(docs_of):
     got = round_trip(docs_of(EDGES)).collect()
     want = []
