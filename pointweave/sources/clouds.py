@@ -185,7 +185,7 @@ def parse_meta(comment: str) -> dict:
 def read_labelled_ply(data: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     """A labelled scene: its metadata and its columns (x, y, z, label and colours)."""
     head = parse_ply_header(data)
-    meta = next((parse_meta(c) for c in head["comments"] if c.startswith("vdbscan ")), None)
+    meta = next((m for m in map(parse_meta, head["comments"]) if {"eps", "min_pts"} <= set(m)), None)  # whatever its first word
     if meta is None:
         raise ValueError("the scene has no metadata")
     return meta, ply_vertices(data)

@@ -108,8 +108,9 @@ def write(labelled: DataFrame, path: str, eps: float) -> None:
     (write_single if is_single_file(path) else write_split)(labelled, path, eps)
 
 
-def scene_comment(eps: float, min_pts: int, sizes: list[int], noise: int) -> str:
-    return f"vdbscan eps={eps} min_pts={min_pts} n_clusters={len(sizes)} n_noise={noise} sizes={','.join(map(str, sorted(sizes)))}"
+def scene_comment(eps: float, min_pts: int, sizes: list[int], noise: int, tag: str = "scene") -> str:
+    """The metadata comment of a scene; readers that expect another first word can be given it as ``tag``."""
+    return f"{tag} eps={eps} min_pts={min_pts} n_clusters={len(sizes)} n_noise={noise} sizes={','.join(map(str, sorted(sizes)))}"
 
 
 def write_scene(path: str, points: np.ndarray, labels: np.ndarray, colors: np.ndarray, comment: str) -> None:

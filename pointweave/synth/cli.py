@@ -10,6 +10,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="pointweave-scene")
     p.add_argument("scene")
     p.add_argument("output")
+    p.add_argument("--tag", default="scene", help="first word of the metadata comment")
     args = p.parse_args(argv)
     import numpy as np
     from pyspark.sql import SparkSession
@@ -33,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     print(f"[3/4] {len(rows)} points, {len(sizes)} clusters, {int((rows.label < 0).sum())} noise")
     if len(sizes) != expected:
         print(f"warning: {expected} clusters were asked for", file=sys.stderr)
-    write_scene(args.output, rows[["x", "y", "z"]].to_numpy(np.float32), rows.label.to_numpy(), rows[["r", "g", "b"]].to_numpy(), scene_comment(scene.eps, scene.min_pts, sizes, int((rows.label < 0).sum())))
+    write_scene(args.output, rows[["x", "y", "z"]].to_numpy(np.float32), rows.label.to_numpy(), rows[["r", "g", "b"]].to_numpy(), scene_comment(scene.eps, scene.min_pts, sizes, int((rows.label < 0).sum()), args.tag))
     print(f"[4/4] {args.output}")
     return 0
 
