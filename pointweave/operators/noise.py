@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.exprs import OFFSETS, f32, squared_distance, squared_radius, voxel_coordinate
+from pointweave.plans.lineage import shuffled
 
 
 def far_candidates(candidates: DataFrame, occupied: DataFrame, distance: float) -> DataFrame:
@@ -19,5 +20,5 @@ def far_candidates(candidates: DataFrame, occupied: DataFrame, distance: float)
     probes = candidates.withColumns(cells).select("point_id", point.alias("p"), "vx", "vy", "vz", F.explode(offsets).alias("o"))
     probes = probes.select("point_id", "p", *[(F.col(f"v{c}") + F.col(f"o.d{c}")).alias(f"v{c}") for c in "xyz"])
     there = occupied.withColumns(cells).select(point.alias("q"), "vx", "vy", "vz")
-    close = probes.join(there, ["vx", "vy", "vz"]).where(squared_distance("p", "q") < f32(squared_radius(distance))).select("point_id").distinct()
-    return candidates.join(close, "point_id", "left_anti")
+    close = probes.join(shuffled(there), ["vx", "vy", "vz"]).where(squared_distance("p", "q") < f32(squared_radius(distance))).select("point_id").distinct()
+    return candidates.join(shuffled(close), "point_id", "left_anti")

@@ -8,6 +8,7 @@ import pytest
 from pointweave.operators import dbscan as D
 from pointweave.operators import kernel
 from pointweave.operators.dbscan import dbscan
+from pointweave.operators.noise import far_candidates
 from pointweave.operators.summary import cluster_summary, compare_sizes, label_map_differences
 
 SCHEMA = "point_id long, x double, y double, z double"
@@ -169,3 +170,10 @@ def test_plan_broadcasts_no_points(spark, monkeypatch):
     assert {"pairs", "core", "links", "core-labels", "site-labels"} < set(plans)
     assert [j for j in joins if "_part" not in j[1]] == []  # offsets of partitions, a row for each
     assert {r["label"] for r in labelled.collect()} == {1}
+
+
+def test_far_candidates_broadcast_no_points(spark):
+    at = lambda *xs: D.cut(spark.createDataFrame([(k, x, 0.0, 0.0) for k, x in enumerate(xs)], SCHEMA))
+    far = far_candidates(at(0.0, 0.5, 1.0, 3.0), at(0.0, 0.0, 4.0), 1.0)
+    assert "Broadcast" not in far._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r["point_id"] for r in far.collect()) == [2, 3]
