@@ -35,8 +35,8 @@ from pointweave.plans.lineage import cut, drop
 
 COSINE = 0.9
 SLACK = 0.82
-#: Nodes for one centre, nodes of a block, and centres of one level.
-SHARD, CAP, MOST_SHARDS = 1000, 2000, 1024
+#: Nodes for one centre where each node lies in OVERLAP shards, nodes of a block, and centres of one level.
+SHARD, CAP, MOST_SHARDS = 375, 2000, 1024
 #: Vectors for fitting the centres of the first level, and for one centre of the second (expected numbers).
 SAMPLE, FOR_CENTRE = 20_000, 20
 #: Nodes that one task gives to the second level's centres (expected).
@@ -219,6 +219,14 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, nodes
 
 
+def _for_centre(overlap: int) -> int:
+    """Nodes for one centre: whatever the overlap, a shard has some SHARD * OVERLAP nodes, which as a rule is one block.
+
+    Across two blocks the graph only has the edges that other shards have found, and searches there are dear and lose links.
+    """
+    return max(1, SHARD * OVERLAP // overlap)
+
+
 def _sample(nodes: DataFrame, n: int, most: int, salt: int) -> DataFrame:
     share = min(1_000_000, int(1_000_000 * most / max(1, n)) + 1)
     return nodes.where(F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(1_000_000)) < share)
@@ -241,8 +249,9 @@ def _nearest(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
 def _second_level(cells: DataFrame, overlap: int) -> DataFrame:
     """Homes inside cells: each cell (a value of ``home``) gets centres of its own, fitted and used in tasks."""
     held = cut(cells.select(F.explode("home").alias("cell"), "node", "copies", "embedding"), "cells")
-    sizes = cut(held.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("k"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "cell-sizes")  # a row for each cell
-    draw = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(SHARD)) < FOR_CENTRE
+    each = _for_centre(overlap)
+    sizes = cut(held.groupBy("cell").agg(F.ceil(F.count("*") / each).cast("int").alias("k"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "cell-sizes")  # a row for each cell
+    draw = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(each)) < FOR_CENTRE
 
     def fit(t: pa.Table) -> pa.Table:
         c = centres(unit(matrix(t.column("embedding").combine_chunks())), t.column("k")[0].as_py())
@@ -268,7 +277,7 @@ def _second_level(cells: DataFrame, overlap: int) -> DataFrame:
 def _homes(nodes: DataFrame, n: int, overlap: int, seed: int) -> DataFrame:
     """``node, copies, embedding, home``: the shards of each node, lowest first; a cut table."""
     sample = unit(matrix(_sample(nodes, n, SAMPLE, 1).select("embedding").toArrow().column(0).combine_chunks()))
-    k = -(-n // SHARD)
+    k = -(-n // _for_centre(overlap))
     if k <= MOST_SHARDS:
         return cut(_nearest(nodes, centres(sample, max(1, k), seed=seed), overlap), "homes")
     cells = cut(_nearest(nodes, centres(sample, max(2, min(MOST_SHARDS, int(k**0.5))), seed=seed), 2), "cells")

@@ -441,3 +441,12 @@ def test_pipeline_without_rows(spark, small_folder, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{small_folder[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("overlap", [E.OVERLAP, 2 * E.OVERLAP])
+def test_shards_of_vectors_are_one_block_as_a_rule(spark, overlap):
+    x = np.random.default_rng(3).normal(size=(6000, 8))
+    nodes = E.cut(spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "node long, copies long, embedding array<double>"))
+    sizes = [r["count"] for r in E._homes(nodes, len(x), overlap, 7).select(E.F.explode("home").alias("shard")).groupBy("shard").count().collect()]
+    assert sum(sizes) == overlap * len(x)
+    assert np.median(sizes) <= E.CAP
