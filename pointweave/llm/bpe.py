@@ -22,7 +22,7 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: A space before white space or the end: only then may a run of white space reach over a cut before a space.
 _RUNS = re.compile(r" (?:\s|\Z)")
 #: Bytes that a worker's memo of chunks, and its memo of pre-tokens, may hold.
-MEMO = 32 << 20
+MEMO = 192 << 20
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from pointweave.llm.bpe import load, pretoken_counts, vocabulary
+from pointweave.llm.bpe import ByteBPE, load, pretoken_counts, vocabulary
 from pointweave.llm.codec import decode_documents, encode_documents, round_trip
 from pointweave.llm.packing import WordEncoder, pack_documents, plan
 from pointweave.llm.token_counts import count_tokens
@@ -125,3 +125,12 @@ def test_plan(histogram):
 def test_empty(docs_of):
     empty = docs_of([])
     assert round_trip(empty).count() == count_tokens(empty).count() == pack_documents(empty).count() == 0
+
+
+def test_memo_holds_the_chunks_of_a_task(monkeypatch):
+    """Chunks that come again after 150,000 others are not merged anew."""
+    bpe = ByteBPE(vocabulary("byte_bpe_50k.json"))
+    texts = [" ".join(f"x{k}" for k in range(begin, begin + 1000)) for begin in range(0, 150_000, 1000)]
+    first = [bpe.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "merge", lambda piece: pytest.fail("merged anew"))
+    assert [bpe.encode(t) for t in texts] == first
