@@ -28,7 +28,7 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END = 1
 #: Bytes that a worker's memo of chunks, and its memo of words and marks, may hold.
-MEMO = 64 << 20
+MEMO = 128 << 20
 _SHOWN = {b: c for c, b in printable_bytes().items()}
 _MARKS = ".,!?;:"
 #: Letters before this one are composed, and each has its own lower case: Latin-1 and Latin Extended-A.

@@ -134,3 +134,12 @@ def test_memo_holds_the_chunks_of_a_task(monkeypatch):
     first = [bpe.encode(t) for t in texts]
     monkeypatch.setattr(bpe, "merge", lambda piece: pytest.fail("merged anew"))
     assert [bpe.encode(t) for t in texts] == first
+
+
+def test_word_memo_holds_the_chunks_of_a_task(monkeypatch):
+    """The same for packing, after 230,000 others."""
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = [" ".join(f"x{k}" for k in range(begin, begin + 1000)) for begin in range(0, 230_000, 1000)]
+    first = [encoder.encode_batch([t]) for t in texts]
+    monkeypatch.setattr(encoder, "_encode", lambda texts: pytest.fail("encoded anew"))
+    assert [encoder.encode_batch([t]) for t in texts] == first
