@@ -27,8 +27,8 @@ from pointweave.plans.lineage import cut
 WORD_VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END = 1
-#: Bytes that a worker's memo of chunks, and its memo of words and marks, may hold.
-MEMO = 128 << 20
+#: Bytes that a worker's memo may hold.
+MEMO = 64 << 20
 _SHOWN = {b: c for c, b in printable_bytes().items()}
 _MARKS = ".,!?;:"
 #: Letters before this one are composed, and each has its own lower case: Latin-1 and Latin Extended-A.
@@ -52,8 +52,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.memo = Memo(MEMO)  # chunks
-        self.parts = Memo(MEMO)  # words and marks
+        self.memo = Memo(MEMO)  # chunks, and the words and marks in them: most words are chunks as well
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,29 +63,28 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        memo, parts = self.memo, self.parts
+        memo = self.memo
         memo.turn()
-        parts.turn()
         # these four are white space to str.split but not to the vocabulary's pattern
         odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         chunks = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         new = [c for c in set().union(*chunks).difference(memo.young) if memo.again(c) is None]
         cuts = [self._cut(c) for c in new]
         missing = []
-        for p in {p for c in cuts for p in c}.difference(parts.young):
-            if parts.again(p) is None:
+        for p in {p for c in cuts for p in c}.difference(memo.young):
+            if memo.again(p) is None:
                 if p.isalpha() and p.islower() and max(p) < _LATIN:
                     ids = self._word(p)
-                    parts.put(p, ids)
+                    memo.put(p, ids)
                 else:
                     missing.append(p)
         for start in range(0, len(missing), 2000):
             part = missing[start : start + 2000]
             for p, ids in zip(part, self._encode(part), strict=True):
-                parts.put(p, ids)
+                memo.put(p, ids)
         for c, cut_at in zip(new, cuts, strict=True):
-            ids = b"".join([parts.young[p] for p in cut_at])
-            memo.put(c, ids)
+            if c not in memo.young:  # else it is a word or marks alone
+                memo.put(c, b"".join([memo.young[p] for p in cut_at]))
         found = memo.young
         return [self._encode([t])[0] if k in odd else b"".join([found[c] for c in chunks[k]]) for k, t in enumerate(texts)]
 

@@ -143,3 +143,19 @@ def test_word_memo_holds_the_chunks_of_a_task(monkeypatch):
     first = [encoder.encode_batch([t]) for t in texts]
     monkeypatch.setattr(encoder, "_encode", lambda texts: pytest.fail("encoded anew"))
     assert [encoder.encode_batch([t]) for t in texts] == first
+
+
+def test_packing_remembers_a_word_once(monkeypatch):
+    """A worker's memos hold ``MEMO`` bytes in all, and a plain word that is a chunk of its own takes one entry."""
+    from pointweave.llm import packing as P
+    from pointweave.llm.text import Memo
+
+    monkeypatch.setattr(P, "MEMO", 1 << 20)
+    word = WordEncoder(vocabulary("word_bpe_49k.json"))
+    memos = [m for m in vars(word).values() if isinstance(m, Memo)]
+    assert sum(m.most for m in memos) == P.MEMO
+    texts = ["some plain words in one line", "Words, words ... line? and\x1cwords 中文 中文!", ""]
+    for k, t in enumerate(texts):
+        assert np.frombuffer(word.encode_batch([t])[0], "<u4").tolist() == ids(WORDS, t)
+        if not k:
+            assert sum(len(m.young) for m in memos) == 6
